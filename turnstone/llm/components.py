@@ -7,6 +7,7 @@ path. A hub costs nothing special: the hook is a ``min`` with map-side combine.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,30 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc")
         later = known.select(F.col("node").alias("root"), F.col("root").alias("top"))
         known = hook.join(later, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return known
+
+
+class Labels:
+    """Union-find over entries 0..n-1 that takes arrays of links; the smaller root wins."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self, i: np.ndarray) -> np.ndarray:
+        r = self.up[i]
+        while (self.up[r] != r).any():
+            r = self.up[r]
+        self.up[i] = r
+        return r
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.roots(i), self.roots(j)
+            differ = a != b
+            i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """(entry, its root) for every entry that isn't a root."""
+        r = self.roots(np.arange(len(self.up)))
+        own = np.flatnonzero(r != np.arange(len(r)))
+        return own, r[own]

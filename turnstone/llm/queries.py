@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstone.llm import simhash
+from turnstone.llm import embed_dedup, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash_dedup": op2_simhash_dedup}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup)}
 
 #: DuckDB SQL of those queries that SQL can express. XXH64, k-means, Viterbi, BPE, packing and learned models it can't.
 ORACLES: dict[str, str] = {}

@@ -5,8 +5,8 @@ copies, however many, are one node. With a budget of e differing bits a 64-bit f
 which two linked fingerprints share at least one; each distinct fingerprint is therefore sent to e + 1 places, keyed by
 (block, its value). There one trie over "key, then the other bits" holds all fingerprints of the partition and is joined
 with itself: pairs of nodes descend together, add up the bits in which they differ and go as soon as the budget is
-exceeded. A partition reports a spanning forest of its links, never all pairs; the number of links of a fingerprint is
-counted only at the first block that both share, so no pair counts twice.
+exceeded. A partition reports a spanning forest of its links, never all pairs. A family of near copies fills one partition
+only with its distinct fingerprints, which are bounded by the ball of fingerprints around the family, not by its rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.llm.components import connected_components
+from turnstone.llm.components import Labels, connected_components
 from turnstone.llm.scratch import Scratch
 
 SEED = 42
@@ -118,25 +118,6 @@ def split(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarr
     return lo
 
 
-class Forest:
-    """Union-find over entries 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
 def links(distinct: DataFrame, budget: int, partitions: int | None = None) -> DataFrame:
     """distinct: (fp long), no repeats. Returns (a, b) long: a spanning forest of each partition's links of at most ``budget`` bits."""
     parts = blocks(budget)
@@ -155,13 +136,11 @@ def links(distinct: DataFrame, budget: int, partitions: int | None = None) -> Da
         key = (block.astype(np.uint64) << np.uint64(60)) ^ value.view(np.uint64) if len(parts) > 1 else value.view(np.uint64)
         order = np.lexsort((fp, key))
         key, fp = key[order], fp[order]
-        forest = Forest(len(fp))
+        labels = Labels(len(fp))
         for i, j in trie_pairs(key, fp, budget):
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                forest.join(a, b)
-        up = np.array([forest.root(i) for i in range(len(fp))], dtype=np.int64)
-        own = np.flatnonzero(up != np.arange(len(up)))
-        yield pd.DataFrame({"a": fp[up[own]].view(np.int64), "b": fp[own].view(np.int64)})
+            labels.link(i, j)
+        own, root = labels.forest()
+        yield pd.DataFrame({"a": fp[root].view(np.int64), "b": fp[own].view(np.int64)})
 
     return sent.mapInPandas(run, "a long, b long")
 
