@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstone.llm import embed_dedup, simhash
+from turnstone.llm import bpe, embed_dedup, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,11 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup)}
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup, op5_bpe)}
 
 #: DuckDB SQL of those queries that SQL can express. XXH64, k-means, Viterbi, BPE, packing and learned models it can't.
 ORACLES: dict[str, str] = {}
