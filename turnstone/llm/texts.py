@@ -17,7 +17,7 @@ def append(df: DataFrame, text_col: str, fields: str, make: Callable[[], Callabl
     added = StructType.fromDDL(fields)
     df = df.drop(*added.names)
     types = [f.type for f in to_arrow_schema(added)]
-    names = [*df.columns, *added.names]
+    names, at = [*df.columns, *added.names], df.columns.index(text_col)
     schema = StructType([*df.schema.fields, *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -25,7 +25,7 @@ def append(df: DataFrame, text_col: str, fields: str, make: Callable[[], Callabl
         for whole in batches:
             for s in range(0, whole.num_rows, rows):
                 b = whole.slice(s, rows)
-                columns = work([t or "" for t in b.column(df.columns.index(text_col)).to_pylist()])
+                columns = work([t or "" for t in b.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
     return df.mapInArrow(run, schema)
