@@ -11,18 +11,18 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from functools import cache
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from turnstone.llm.texts import append
 
 #: Unicode's White_Space; str.split also splits at the four separators U+001C to U+001F, which aren't in it.
 SPACE = regex.compile(r"\p{White_Space}+")
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
-CACHE = 200_000  #: words that a worker remembers; when full it starts anew
+CACHE = 500_000  #: words, and pre-tokens, that a worker remembers; when full it starts anew
 
 
 def split(text: str) -> list[str]:
@@ -45,11 +45,16 @@ class Bpe:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(model["merges"])}
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        self.size = max(self.vocab.values()) + 1
+        self.ranks = {self.vocab[a] * self.size + self.vocab[b]: k for k, (a, b) in enumerate(merges)}
+        self.made = [self.vocab[a + b] for a, b in merges]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
         self.letters = byte_letters()
+        self.bytes = [self.vocab.get(c, -1) for c in self.letters]
+        self.ends = [self.vocab.get(c + self.suffix, -1) for c in self.letters]
         self.steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         if unknown := set(self.steps) - {"NFC", "Replace", "Lowercase"}:
             raise ValueError(f"normalizers that are not supported: {sorted(unknown)}")
@@ -60,6 +65,8 @@ class Bpe:
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.byte_level_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.words: dict[str, list[int]] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.written: dict[str, tuple[int, str, str]] = {}
 
     def normalize(self, text: str) -> str:
         for step in self.steps:
@@ -70,37 +77,60 @@ class Bpe:
             # white-space replacement changes no pre-token, as patterns take no white space
         return text
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        """Apply the merges to one pre-token's symbols."""
-        n, ranks = len(symbols), self.ranks
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        queue = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
+    def merge(self, symbols: list[int]) -> list[int]:
+        """Apply the merges to one pre-token's symbols, given as ids. A queue entry is rank and place in one number; a symbol that has gone is -1."""
+        n, size, rank, made = len(symbols), self.size, self.ranks.get, self.made
+        queue = [r << 32 | i for i in range(n - 1) if (r := rank(symbols[i] * size + symbols[i + 1])) is not None]
+        if not queue:
+            return symbols
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pop, push = heapq.heappop, heapq.heappush
         heapq.heapify(queue)
         while queue:
-            _, i, a, b = heapq.heappop(queue)
-            j = after[i] if alive[i] else n
-            if j >= n or symbols[i] != a or symbols[j] != b:  # stale
+            e = pop(queue)
+            r, i = e >> 32, e & 0xFFFFFFFF
+            j = after[i]
+            if j >= n or rank(symbols[i] * size + symbols[j]) != r:  # stale: one of the two has grown or gone since
                 continue
-            symbols[i], alive[j], after[i] = a + b, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-                if (r := ranks.get((symbols[i], symbols[after[j]]))) is not None:
-                    heapq.heappush(queue, (r, i, symbols[i], symbols[after[j]]))
-            if before[i] >= 0 and (r := ranks.get((symbols[before[i]], symbols[i]))) is not None:
-                heapq.heappush(queue, (r, before[i], symbols[before[i]], symbols[i]))
-        return [s for s, ok in zip(symbols, alive, strict=True) if ok]
+            new = symbols[i] = made[r]
+            symbols[j] = -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank(new * size + symbols[k])) is not None:
+                    push(queue, r << 32 | i)
+            k = before[i]
+            if k >= 0 and (r := rank(symbols[k] * size + new)) is not None:
+                push(queue, r << 32 | k)
+        return [s for s in symbols if s >= 0]
 
     def pre_token(self, piece: str) -> list[int]:
-        symbols = [self.letters[b] for b in piece.encode("utf-8", "replace")]
-        symbols[-1] += self.suffix
-        return [self.vocab[s] for s in self.merge(symbols) if s in self.vocab]
+        if (ids := self.pieces.get(piece)) is None:
+            if len(self.pieces) >= CACHE:
+                self.pieces.clear()
+            data = piece.encode("utf-8", "replace")
+            symbols = [self.bytes[b] for b in data]
+            symbols[-1] = self.ends[data[-1]]
+            if -1 in symbols:  # the vocabulary lacks a byte: it can't be encoded and is left out
+                symbols = [s for s in symbols if s >= 0]
+            ids = self.pieces[piece] = self.merge(symbols)
+        return ids
 
-    def word(self, word: str) -> list[int]:
+    def fresh(self, word: str) -> list[int]:
         """Ids of a text without white space and without added tokens."""
+        if word.isascii():  # NFC changes nothing, and a word of letters is one pre-token
+            word = word.lower() if "Lowercase" in self.steps else word
+            if word.isalpha():
+                return self.pre_token(word)
+        else:
+            word = self.normalize(word)
+        return [i for piece in self.pattern.findall(word) for i in self.pre_token(piece)]
+
+    def word(self, word: str) -> list[int]:
         if (ids := self.words.get(word)) is None:
             if len(self.words) >= CACHE:
                 self.words.clear()
-            ids = self.words[word] = [i for m in self.pattern.finditer(self.normalize(word)) for i in self.pre_token(m[0])]
+            ids = self.words[word] = self.fresh(word)
         return ids
 
     def encode(self, text: str | None) -> list[int]:
@@ -125,70 +155,64 @@ class Bpe:
         return bytes(b for s in names for b in (map(byte.__getitem__, s) if all(c in byte for c in s) else s.encode())).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of every whole text: one row per input row with id and ids array<int>; a null or empty text has none.
+@cache
+def coder(path: str) -> Bpe:
+    """The worker's coder for a file; it lives as long as the worker, so later tasks find the words of earlier ones."""
+    return Bpe(path)
 
-    Needs ``path`` on every executor. Null ids and repeated rows pass through, other columns are ignored, an empty table
-    gives an empty result.
+
+def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """docs with ids array<int> of every whole text; a null or empty text has none.
+
+    Needs ``path`` on every executor. Rows keep their other columns, null and repeated ones too; a column named ids is
+    replaced. An empty table gives an empty result.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = Bpe(path)
-        for b in batches:
-            for s in range(0, len(b), 256):
-                part = b.iloc[s : s + 256]
-                yield pd.DataFrame({id_col: part["id"], "ids": [bpe.encode(t) for t in part["text"]]})
+    def make():
+        bpe = coder(path)
+        return lambda texts: ([bpe.encode(t) for t in texts],)
 
-    return _rows(docs, id_col, text_col).mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return append(docs, text_col, "ids array<int>", make)
 
 
-def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Texts of arrays of ids: id and text; null ids give an empty text."""
+def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+    """rows with a column text, decoded from arrays of ids; null ids give an empty text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = Bpe(path)
-        for b in batches:
-            yield pd.DataFrame({id_col: b["id"], "text": [bpe.decode(list(x)) if x is not None else "" for x in b["ids"]]})
+    def make():
+        bpe = coder(path)
+        return lambda ids: ([bpe.decode(x) for x in ids],)
 
-    return rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInPandas(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, text string")
+    return append(rows, ids_col, "text string", make)
 
 
-def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, then decode, every whole text in one pass: id, n_tokens long, ids_sha256 (decimal ids joined by a space) and decoded_sha256.
+def round_trip_digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """docs with n_tokens long, ids_sha256 (decimal ids joined by a space) and decoded_sha256, of each whole text encoded and then decoded.
 
     The same encoder and decoder as ``encode`` and ``decode``; a word's ids and decoded text are kept as written strings.
     Cases as in ``encode``; no ids: the digests of the empty text.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = Bpe(path)
+    def make():
+        bpe = coder(path)
         plain = not bpe.byte_level_decoder  # then a text decodes word by word
-        kept: dict[str, tuple[int, str, str]] = {}
+        kept = bpe.written
 
         def word(w: str) -> tuple[int, str, str]:
-            ids = bpe.word(w)
+            ids = bpe.fresh(w)
             if len(kept) >= CACHE:
                 kept.clear()
             kept[w] = found = (len(ids), " ".join(map(str, ids)), bpe.decode(ids) if plain else "")
             return found
 
-        def digests(text: str | None) -> tuple[int, str, str]:
-            text = text or ""
+        def digests(text: str) -> tuple[int, str, str]:
             if plain and not (bpe.special and bpe.special.search(text)):
                 found = [x for x in (kept.get(w) or word(w) for w in split(text)) if x[0]]
-                n, ids, back = sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+                n, ids, back = sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
             else:
                 every = bpe.encode(text)
                 n, ids, back = len(every), " ".join(map(str, every)), bpe.decode(every)
             return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest()
 
-        for b in batches:
-            out = pd.DataFrame([digests(t) for t in b["text"]], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, id_col, b["id"].array)
-            yield out
-
-    return _rows(docs, id_col, text_col).mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
+        return lambda texts: tuple(zip(*map(digests, texts), strict=True))
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return append(docs, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
