@@ -1,6 +1,6 @@
 """Best-fit packing of token sequences, online and with bounded space.
 
-A text is encoded word by word; what a worker has encoded it remembers, up to a bound, as the ids' bytes. A packer holds a
+Texts are encoded whole. A packer holds a
 fixed number of open bins in a bitset keyed by free space: a piece goes to the open bin with the least room that still
 fits it; when too many bins are open the fullest closes. Packers run over disjoint parts of the pieces. What stands in bins
 that are open at a part's end is packed again over ever fewer parts, down to one, so parts cost no sequences.
@@ -14,54 +14,52 @@ from array import array
 from collections.abc import Iterator
 
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnstone.llm.bpe import byte_letters
 from turnstone.llm.scratch import Scratch
+from turnstone.llm.texts import append
 
-CACHE = 300_000  #: words that a worker remembers; when full it starts anew
 LENGTH = 2048
 OPEN = 1024  #: open bins of a packer
 PART_TOKENS = LENGTH * 16_384  #: tokens for which one part is used
 FAN_IN = 16  #: parts whose open bins are packed again together
-UNEVEN = regex.compile(r" \s|\s ")
-CUT = regex.compile(r"(?<=\S)(?= \S)", regex.V1)
+#: The pattern of byte-level BPE, a fixed value of the vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class WordEncoder:
-    """Ids of whole texts as the bytes of little-endian unsigned 32-bit numbers.
+class TextEncoder:
+    """Ids of whole texts as the bytes of little-endian unsigned 32-bit numbers, equal to those of the tokenizers library for the file.
 
-    With a byte-level pattern no pre-token reaches over "non-space, then a space and a non-space", so the parts between such
-    places are encoded by themselves and remembered.
+    Where the file's merges are in the order of the ids they make, as byte-level vocabularies usually are, the merge ranks
+    are the ids, and the faster encoder that takes ranks gives the same ids; any other file is left to the library itself.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def parts(self, text: str) -> list[str]:
-        if UNEVEN.search(text):
-            return CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.parts(t) for t in texts]
-        new = list(set().union(*cut) - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(set().union(*cut))
-        for s in range(0, len(new), 4096):
-            for w, e in zip(new[s : s + 4096], self.tokenizer.encode_batch_fast(new[s : s + 4096], add_special_tokens=False), strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in cut]
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, letters = spec["model"]["vocab"], {c: b for b, c in enumerate(byte_letters())}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
+        made = [vocab[m] for m in merged]
+        plain = spec["pre_tokenizer"] | {"trim_offsets": True} == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        if plain and not spec.get("normalizer") and made == sorted(made) and vocab.keys() - special.keys() == {*letters, *merged}:
+            import tiktoken
+
+            ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in special}
+            coder = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            self.encode = lambda texts: [coder.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() for t in texts]
+        else:
+            from tokenizers import Tokenizer
+
+            other = Tokenizer.from_file(path)
+            other.no_truncation()
+            other.no_padding()
+            self.encode = lambda texts: [array("I", e.ids).tobytes() for e in other.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def cut(n: int, length: int) -> list[tuple[int, int]]:
@@ -76,22 +74,21 @@ def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int =
     A null or empty text is one piece that holds the end alone. Ids may be null or repeat; other columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, end = WordEncoder(path), array("I", [end_id]).tobytes()
-        for b in batches:
-            for s in range(0, len(b), 256):
-                part = b.iloc[s : s + 256]
-                out = []
-                for i, data in zip(part["id"], words.encode([t or "" for t in part["text"]]), strict=True):
-                    data += end
-                    out += [(i, k, a, n, zlib.crc32(data[4 * a : 4 * (a + n)])) for k, (a, n) in enumerate(cut(len(data) // 4, length))]
-                yield pd.DataFrame(out, columns=[id_col, "piece", "start", "length", "ids_crc32"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+        coder, end = TextEncoder(path), array("I", [end_id]).tobytes()
+
+        def pieces(data: bytes) -> list[tuple[int, int, int, int]]:
+            data += end
+            return [(k, a, n, zlib.crc32(data[4 * a : 4 * (a + n)])) for k, (a, n) in enumerate(cut(len(data) // 4, length))]
+
+        return lambda texts: (list(map(pieces, coder.encode(texts))),)
+
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    cuts = append(rows, "_text", "_p array<struct<piece:int,start:long,length:long,ids_crc32:long>>", make)
+    return cuts.select(id_col, F.explode("_p").alias("_p")).select(id_col, "_p.*")
 
 
 class Packer:
