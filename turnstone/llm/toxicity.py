@@ -30,10 +30,11 @@ from turnstone.llm.scratch import Scratch
 from turnstone.llm.texts import append
 
 TRAIN_DOCS = 20_000  #: expected number of labelled rows in the sample that the model is fitted on
-SEEDS, LANDMARKS, NEGATIVES = 512, 192, 8_000  #: bounds of the training set of words
+SEEDS, LANDMARKS, NEGATIVES = 512, 384, 8_000  #: bounds of the training set of words
 SPAN, DECAY = 6, 0.6  #: letters that a run may span; weight of each letter that it skips
 CACHE = 400_000
 FLOOR = -3.0  #: value of a text without a word
+SENTENCE = r"[.!?\n]+"
 LETTERS = 64
 CODES = 1 << 20
 
@@ -96,8 +97,9 @@ class Landmarks:
     def kernel(self, words: list[str]) -> np.ndarray:
         """(words, landmarks): normalized kernel."""
         out = np.zeros((len(words), self.dense.shape[1]))
-        for s in range(0, len(words), 1000):
-            part = words[s : s + 1000]
+        size = max(1, 20_000 // self.dense.shape[1])
+        for s in range(0, len(words), size):
+            part = words[s : s + size]
             code, weight, owner, norm = runs(part)
             row = self.place[code]
             known = row >= 0
@@ -110,15 +112,26 @@ class Landmarks:
         return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10_000.0, rounds: int = 600) -> np.ndarray:
-    """Weights of a linear machine with squared hinge loss; y is 1 or -1, classes weigh alike. The last column of x is the bias. Accelerated gradient descent."""
+def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 100_000.0, rounds: int = 40) -> np.ndarray:
+    """Weights of a linear machine with squared hinge loss, by Newton steps on the examples inside the margin; y is 1 or -1, classes weigh alike. The last column of x is the bias."""
     c = np.where(y > 0, cost / max(1, (y > 0).sum()), cost / max(1, (y < 0).sum()))
-    step = 1 / (1 + 2 * np.linalg.eigvalsh((x * c[:, None]).T @ x)[-1])
-    w = v = np.zeros(x.shape[1])
-    for t in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - step * (v - 2 * x.T @ (c * y * slack))
-        w, v = new, new + t / (t + 3) * (new - w)
+
+    def loss(w: np.ndarray) -> float:
+        return w @ w / 2 + (c * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+
+    w, now = np.zeros(x.shape[1]), loss(np.zeros(x.shape[1]))
+    for _ in range(rounds):
+        slack = 1 - y * (x @ w)
+        inside = slack > 0
+        part, weight = x[inside], c[inside]
+        step = np.linalg.solve(np.eye(x.shape[1]) + 2 * part.T @ (part * weight[:, None]), w - 2 * part.T @ (weight * y[inside] * slack[inside]))
+        size = 1.0
+        while size > 1e-4 and loss(w - size * step) > now:
+            size /= 2
+        w, was = w - size * step, now
+        now = loss(w)
+        if now > was * (1 - 1e-6):
+            break
     return w
 
 
@@ -174,15 +187,14 @@ def spread(words: list[str], n: int) -> list[str]:
     """Up to n words, each time the one least like those taken."""
     if len(words) <= n:
         return words
-    gram = Landmarks(words[:4000]).kernel(words[:4000])
-    near, taken = gram[0].copy(), [0]
+    near, taken = Landmarks(words[:1]).kernel(words)[:, 0], [0]
     while len(taken) < n:
         near[taken] = 2
         k = int(near.argmin())
         if near[k] > 0.999:
             break
         taken.append(k)
-        near = np.maximum(near, gram[k])
+        near = np.maximum(near, Landmarks(words[k : k + 1]).kernel(words)[:, 0])
     return [words[k] for k in taken]
 
 
@@ -205,9 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, seen, max_docs: int = TRAIN_DOCS, id
     # the sample's ids have a bound, max_docs, and so may be broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(marked), "id")
     rows = scratch.write(rows, "sample")
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
-        return None
+    # copies and near copies repeat their sentences: each counts once, and as harmless if it also stands in a harmless text
+    sentences = rows.select("toxic", F.explode(F.split("text", SENTENCE)).alias("text")).where("text <> ''").groupBy("text").agg(F.min("toxic").alias("toxic"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -217,20 +228,38 @@ def fit(docs: DataFrame, labels: DataFrame, seen, max_docs: int = TRAIN_DOCS, id
             words = list(by[0].keys() | by[1].keys())
             yield pd.DataFrame({"word": words, "clean": [by[0][w] for w in words], "toxic": [by[1][w] for w in words]})
 
-    counted = rows.select("text", "toxic").mapInPandas(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sentences = scratch.write(sentences, "sentences")
+    sizes = {r["toxic"]: r["count"] for r in sentences.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return None
+    counted = sentences.mapInPandas(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counted = scratch.write(counted, "words")
     total, chance = counted.count(), sizes[True] / (sizes[True] + sizes[False])
-    # Chernoff's bound of the chance that so many of the word's texts are toxic, over all words
+    # Chernoff's bound of the chance that so many of the word's sentences are from toxic texts, over all words
     p = F.col("toxic") / (F.col("toxic") + F.col("clean"))
-    gain = (F.col("toxic") * F.log(p / chance) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - p) / (1 - chance))).otherwise(0)).alias("gain")
-    seeds = counted.where(p > chance).select("word", "toxic", "clean", gain).where(f"gain > {math.log(20 * max(total, 1))} AND toxic > 4 * clean")
-    positive = [r["word"] for r in seeds.orderBy(F.desc("gain"), "word").limit(SEEDS).collect()]
+    gain = (F.col("toxic") * F.log(p / chance) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - p) / (1 - chance))).otherwise(0))
+    stands_out = (gain > math.log(20 * max(total, 1))) & (F.col("toxic") > 4 * F.col("clean"))
+    likely = [r["word"] for r in counted.where(p > chance).where(stands_out).orderBy(F.desc(gain), "word").limit(8 * SEEDS).collect()]
+    # copies with changes repeat a word between the same neighbours: of the likely words' occurrences one per pair of neighbours counts
+    wanted = set(likely)
+
+    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = set()
+            for text, toxic in zip(b["text"], b["toxic"], strict=True):
+                words = ["", *words_of(text), ""]
+                found |= {(w, f"{a} {c}", bool(toxic)) for a, w, c in zip(words, words[1:], words[2:], strict=False) if w in wanted}
+            yield pd.DataFrame(sorted(found), columns=["word", "around", "toxic"])
+
+    apart = sentences.mapInPandas(neighbours, "word string, around string, toxic boolean").groupBy("word", "around").agg(F.min("toxic").alias("toxic"))
+    apart = apart.groupBy("word").agg(F.sum((~F.col("toxic")).cast("long")).alias("clean"), F.sum(F.col("toxic").cast("long")).alias("toxic"))
+    positive = [r["word"] for r in apart.where(p > chance).where(stands_out).orderBy(F.desc(gain), "word").limit(SEEDS).collect()]
     if not positive:
         return None
     harmless = counted.where("clean > 0 AND clean >= toxic")
     negative = [r["word"] for r in harmless.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES).collect()]
     extra = [v for w in positive[:128] for v in inserted(w)]
-    good = spread(positive, LANDMARKS // 2)
+    good = list(dict.fromkeys(positive[: LANDMARKS // 4] + spread(positive, LANDMARKS // 4)))
 
     def trained(marks: list[str]) -> Model:
         return train(positive + extra + negative, [True] * (len(positive) + len(extra)) + [False] * len(negative), good + marks)
