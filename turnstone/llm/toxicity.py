@@ -30,7 +30,7 @@ from turnstone.llm.scratch import Scratch
 from turnstone.llm.texts import append
 
 TRAIN_DOCS = 20_000  #: expected number of labelled rows in the sample that the model is fitted on
-SEEDS, LANDMARKS, NEGATIVES = 512, 384, 8_000  #: bounds of the training set of words
+SEEDS, LANDMARKS, NEGATIVES = 384, 256, 6_000  #: bounds of the training set of words
 SPAN, DECAY = 6, 0.6  #: letters that a run may span; weight of each letter that it skips
 CACHE = 400_000
 FLOOR = -3.0  #: value of a text without a word
@@ -91,12 +91,12 @@ class Landmarks:
         self.codes = np.unique(code)
         self.place = np.full(CODES, -1, np.int32)
         self.place[self.codes] = np.arange(len(self.codes))
-        self.dense = np.zeros((len(self.codes), len(words)))
+        self.dense = np.zeros((len(self.codes), len(words)), np.float32)
         np.add.at(self.dense, (self.place[code], owner), weight / norm[owner])
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """(words, landmarks): normalized kernel."""
-        out = np.zeros((len(words), self.dense.shape[1]))
+        out = np.zeros((len(words), self.dense.shape[1]), np.float32)
         size = max(1, 20_000 // self.dense.shape[1])
         for s in range(0, len(words), size):
             part = words[s : s + size]
@@ -108,7 +108,7 @@ class Landmarks:
             row, weight, owner = row[order], weight[order], owner[order]
             some, first = np.unique(owner, return_index=True)
             if len(some):
-                out[s + some] = np.add.reduceat(self.dense[row] * weight[:, None], first, axis=0) / norm[some, None]
+                out[s + some] = np.add.reduceat(self.dense[row] * weight[:, None].astype(np.float32), first, axis=0) / norm[some, None]
         return out
 
 
@@ -124,7 +124,11 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 100_000.0, rounds: int =
         slack = 1 - y * (x @ w)
         inside = slack > 0
         part, weight = x[inside], c[inside]
-        step = np.linalg.solve(np.eye(x.shape[1]) + 2 * part.T @ (part * weight[:, None]), w - 2 * part.T @ (weight * y[inside] * slack[inside]))
+        curve = np.eye(x.shape[1])
+        for s in range(0, len(part), 1000):  # in double precision, in pieces
+            some = part[s : s + 1000].astype(float)
+            curve += 2 * some.T @ (some * weight[s : s + 1000, None])
+        step = np.linalg.solve(curve, w - 2 * part.T @ (weight * y[inside] * slack[inside]))
         size = 1.0
         while size > 1e-4 and loss(w - size * step) > now:
             size /= 2
@@ -176,7 +180,7 @@ def train(words: list[str], toxic: list[bool], landmarks: list[str]) -> Model:
     gram = marks.kernel(landmarks)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors * np.where(values > 1e-6 * values[-1], 1 / np.sqrt(np.maximum(values, 1e-12)), 0) @ vectors.T
-    x = np.column_stack((marks.kernel(words) @ root, np.ones(len(words))))
+    x = np.column_stack((marks.kernel(words) @ root.astype(np.float32), np.ones(len(words), np.float32)))
     w = fit_svm(x, np.where(toxic, 1.0, -1.0))
     weights = np.zeros(CODES, np.float32)
     weights[marks.codes] = marks.dense @ (root @ w[:-1])
