@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstone.llm import bpe, embed_dedup, html_text, langid, packing, quality, secret_scan, simhash, toxicity
+from turnstone.llm import bpe, embed_dedup, html_text, langid, packing, quality, secret_scan, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
@@ -48,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup, op3_language_id, op5_bpe, op6_secret_scan, op7_quality_rules, op8_html_text, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup, op3_language_id, op4_substring_dedup, op5_bpe, op6_secret_scan, op7_quality_rules, op8_html_text, op9_packing, op10_toxicity)}
 
 #: DuckDB SQL of those queries that SQL can express. XXH64, k-means, Viterbi, BPE, packing and learned models it can't.
 ORACLES: dict[str, str] = {}
