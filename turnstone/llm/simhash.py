@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from turnstone.llm.components import Labels, connected_components
 from turnstone.llm.scratch import Scratch
+from turnstone.llm.texts import append
 
 SEED = 42
 CHUNK = 1 << 18  #: shingles, or pairs of trie nodes, that are held as arrays at once
@@ -51,12 +52,10 @@ def simhash(text: str | None, size: int = 3) -> int:
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """docs: (id, text). Returns (id, fp long), fp being the fingerprint's 64 bits as a signed number."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = np.array([simhash(t, size) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": b["id"], "fp": fps})
+    def make():
+        return lambda texts: (np.array([simhash(t, size) for t in texts], dtype=np.uint64).view(np.int64),)
 
-    return docs.select(F.col("id"), F.col("text")).mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, fp long")
+    return append(docs.select("id", "text"), "text", "fp long", make).drop("text")
 
 
 def blocks(budget: int) -> list[tuple[int, int]]:
@@ -173,5 +172,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     Rows with a null id have no name to be chosen by and all stay.
     """
     found = near_duplicates(docs, id_col, text_col, size, budget).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(found, id_col, "left_semi").dropDuplicates([id_col])
+    named = docs.where(F.col(id_col).isNotNull()).join(found, id_col, "left_semi").select(docs.columns)
+    if not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        named = named.dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))
