@@ -26,9 +26,18 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    from importlib import import_module
+
+    for name in ("context_queries", "scoring_queries", "text_queries", "audit_queries"):
+        import_module(f"turnstone.plans.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
