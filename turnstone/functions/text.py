@@ -40,7 +40,7 @@ def tagged_line(role: Column, text: Column) -> Column:
 
 
 def slug(x: Column) -> Column:
-    return F.trim(F.lit("-"), F.regexp_replace(F.lower(F.replace(x, F.lit("'"), F.lit(""))), "[^a-z0-9]+", "-"))
+    return F.trim(F.regexp_replace(F.lower(F.replace(x, F.lit("'"), F.lit(""))), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def sheet_safe(x: Column) -> Column:
