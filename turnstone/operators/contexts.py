@@ -4,31 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from turnstone.functions.text import tagged_line
 
 BUDGET = 350  #: words of context and target together, speaker tags included (fixed value)
 
-_BEFORE = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-_SO_FAR = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+
+def _rows(last: int) -> WindowSpec:
+    """A dialogue's rows from its first to the one ``last`` away from the current."""
+    return Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, last)
 
 
 def cumulative_mask(turns: DataFrame) -> DataFrame:
     """turns with mask, the domain bits of the dialogue up to and with the turn."""
-    return turns.withColumn("mask", F.bit_or("bit").over(_SO_FAR))
+    return turns.withColumn("mask", F.bit_or("bit").over(_rows(0)))
 
 
 def active_masks(turns: DataFrame) -> DataFrame:
     """turns with active: the mask after turn min(t + 2, n), so with the target and the reply that follows it."""
-    ahead = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 1)
-    return turns.withColumn("active", F.bit_or("bit").over(ahead))
+    return turns.withColumn("active", F.bit_or("bit").over(_rows(1)))
 
 
 def slices(turns: DataFrame) -> DataFrame:
     """User turns with none (empty), one (the previous turn) and full (all previous turns), as arrays of lines, oldest first."""
     line = tagged_line(F.col("role"), F.col("text"))
-    w = turns.withColumn("full", F.collect_list(line).over(_BEFORE))
+    w = turns.withColumn("full", F.collect_list(line).over(_rows(-1)))
     w = w.where("role = 'user'").withColumns({"none": F.array().cast("array<string>"), "one": F.when(F.size("full") > 0, F.slice("full", -1, 1)).otherwise(F.array().cast("array<string>"))})
     return w.select("conv_id", "turn", "none", "one", "full")
 
@@ -40,9 +41,9 @@ def budgeted(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
     how many go: turn j of the context stays if the words from j on fit. No pairs of turns are made beyond a dialogue's own.
     """
     sized = turns.withColumn("size", F.col("words") + 1)
-    own = sized.withColumn("upto", F.coalesce(F.sum("size").over(_BEFORE), F.lit(0)))
+    own = sized.withColumn("upto", F.coalesce(F.sum("size").over(_rows(-1)), F.lit(0)))
     # the running sums before each earlier turn, in order: words from turn j on are upto - sums[j]
-    own = own.withColumn("sums", F.collect_list("upto").over(_BEFORE))
+    own = own.withColumn("sums", F.collect_list("upto").over(_rows(-1)))
     room = F.lit(budget) - F.col("words")
     kept = F.size(F.filter("sums", lambda s: F.col("upto") - s <= room))
     out = own.where("role = 'user'").withColumn("kept", kept.cast("long"))

@@ -12,7 +12,11 @@ from turnstone.registry import query
 
 LABELS = [0, 1, 2]
 CONTRASTS = [("one", "none"), ("full", "none"), ("full", "one"), ("full", "mismatched"), ("one", "mismatched_one")]
-CORRECT = F.col("gold") == F.col("pred")
+
+
+def correct():
+    return F.col("gold") == F.col("pred")
+
 
 
 def p0(spark, sf):
@@ -59,7 +63,7 @@ PAIR = " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, count(*)::BI
 
 @query("J11_paired_contrasts", with_sql(PAIR))
 def paired(spark, sf):
-    return scoring.paired(p0(spark, sf), CONTRASTS, CORRECT.cast("int"))
+    return scoring.paired(p0(spark, sf), CONTRASTS, correct().cast("int"))
 
 
 @query("P15_contrast_set", " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, '{'mismatch' if 'mis' in a + b else 'genuine'}' AS name" for a, b in CONTRASTS))
@@ -71,40 +75,40 @@ def contrast_set(spark, sf):
 
 @query("A16_seed_average", with_sql("SELECT item_id, condition, avg((gold = pred)::INT) AS value FROM preds GROUP BY 1, 2"))
 def seed_average(spark, sf):
-    return p3(spark, sf).groupBy("item_id", "condition").agg(F.avg(CORRECT.cast("int")).alias("value"))
+    return p3(spark, sf).groupBy("item_id", "condition").agg(F.avg(correct().cast("int")).alias("value"))
 
 
 @query("A17_seed_variation", with_sql(", r AS (SELECT condition, seed, avg((gold = pred)::INT) AS rate FROM preds GROUP BY 1, 2) SELECT condition, avg(rate) AS mean, stddev_samp(rate) AS sd, min(rate) AS low, max(rate) AS high FROM r GROUP BY 1"))
 def seed_variation(spark, sf):
-    r = p3(spark, sf).groupBy("condition", "seed").agg(F.avg(CORRECT.cast("int")).alias("rate"))
+    r = p3(spark, sf).groupBy("condition", "seed").agg(F.avg(correct().cast("int")).alias("rate"))
     return r.groupBy("condition").agg(F.avg("rate").alias("mean"), F.stddev_samp("rate").alias("sd"), F.min("rate").alias("low"), F.max("rate").alias("high"))
 
 
 @query("A18_seed_rates", with_sql("SELECT seed, condition, avg((gold = pred)::INT) AS rate FROM preds GROUP BY 1, 2"))
 def seed_rates(spark, sf):
-    return p3(spark, sf).groupBy("seed", "condition").agg(F.avg(CORRECT.cast("int")).alias("rate"))
+    return p3(spark, sf).groupBy("seed", "condition").agg(F.avg(correct().cast("int")).alias("rate"))
 
 
 @query("A19_seed_contrasts", with_sql("SELECT x.seed, avg((x.gold = x.pred)::INT - (y.gold = y.pred)::INT) AS diff FROM preds x JOIN preds y ON x.item_id = y.item_id AND x.seed = y.seed AND x.condition = 'full' AND y.condition = 'none' GROUP BY 1"))
 def seed_contrasts(spark, sf):
-    w = p3(spark, sf).where("condition IN ('full', 'none')").groupBy("item_id", "seed").pivot("condition", ["full", "none"]).agg(F.max(CORRECT.cast("int")))
+    w = p3(spark, sf).where("condition IN ('full', 'none')").groupBy("item_id", "seed").pivot("condition", ["full", "none"]).agg(F.max(correct().cast("int")))
     return w.groupBy("seed").agg(F.avg(F.col("full") - F.col("none")).alias("diff"))
 
 
 @query("A20_dialogue_sums", with_sql("SELECT condition, conv_id, sum((gold = pred)::INT)::DOUBLE AS num, count(*)::DOUBLE AS den FROM p0 GROUP BY 1, 2"))
 def sums(spark, sf):
-    return bootstrap.vectors(p0(spark, sf), ["condition"], "conv_id", CORRECT.cast("int"), F.lit(1))
+    return bootstrap.vectors(p0(spark, sf), ["condition"], "conv_id", correct().cast("int"), F.lit(1))
 
 
 @query("A30_mean_of_means", with_sql(", r AS (SELECT split, condition, seed, avg((gold = pred)::INT) AS rate FROM preds GROUP BY 1, 2, 3) SELECT split, avg(rate) AS mean, count(*)::BIGINT AS cells FROM r GROUP BY 1"))
 def mean_of_means(spark, sf):
-    r = p3(spark, sf).groupBy("split", "condition", "seed").agg(F.avg(CORRECT.cast("int")).alias("rate"))
+    r = p3(spark, sf).groupBy("split", "condition", "seed").agg(F.avg(correct().cast("int")).alias("rate"))
     return r.groupBy("split").agg(F.avg("rate").alias("mean"), F.count(F.lit(1)).alias("cells"))
 
 
 @query("A31_hybrid_rate", with_sql("SELECT seed, avg((gold = pred AND gold <> 0)::INT) AS rate FROM preds WHERE condition = 'full' AND split <> 'test' GROUP BY 1"))
 def hybrid_rate(spark, sf):
-    return p3(spark, sf).where("condition = 'full' AND split <> 'test'").groupBy("seed").agg(F.avg((CORRECT & (F.col("gold") != 0)).cast("int")).alias("rate"))
+    return p3(spark, sf).where("condition = 'full' AND split <> 'test'").groupBy("seed").agg(F.avg((correct() & (F.col("gold") != 0)).cast("int")).alias("rate"))
 
 
 @query("A22_detection", with_sql("SELECT condition, count_if(gold <> 0 AND pred <> 0)::BIGINT AS tp, count_if(gold = 0 AND pred <> 0)::BIGINT AS fp, count_if(gold <> 0)::BIGINT AS requests, count_if(gold <> 0 AND pred <> 0)::DOUBLE / count_if(pred <> 0) AS precision, count_if(gold <> 0 AND pred <> 0)::DOUBLE / count_if(gold <> 0) AS recall FROM p0 GROUP BY 1"))
@@ -171,7 +175,7 @@ greatest(1.0::DOUBLE / count(value), least(1.0::DOUBLE, 2.0::DOUBLE * least(coun
 
 def boot(spark, sf):
     p = p0(spark, sf)
-    return bootstrap.replicates(bootstrap.vectors(p, ["condition"], "conv_id", CORRECT.cast("int"), F.lit(1)), bootstrap.weights(p, "conv_id", SAMPLES, 11), ["condition"], "conv_id")
+    return bootstrap.replicates(bootstrap.vectors(p, ["condition"], "conv_id", correct().cast("int"), F.lit(1)), bootstrap.weights(p, "conv_id", SAMPLES, 11), ["condition"], "conv_id")
 
 
 @query("B03_shared_bootstrap", with_sql(BOOT + " SELECT * FROM rep"))
@@ -221,19 +225,19 @@ def family(spark, sf):
 
 @query("B10_benefit_by_level", with_sql(f", b AS (SELECT CASE WHEN i.words % 4 = 3 THEN 'L3' WHEN i.words % 4 = 2 THEN 'L2' WHEN i.words % 4 = 1 THEN 'L1' ELSE 'L0' END AS level, (x.gold = x.pred)::INT - (y.gold = y.pred)::INT AS d FROM p0 x JOIN p0 y ON x.item_id = y.item_id AND x.condition = 'full' AND y.condition = 'none' JOIN items i ON i.item_id = x.item_id) SELECT level, avg(d) AS benefit, count(*)::BIGINT AS n FROM b GROUP BY GROUPING SETS ((), (level))"))
 def benefit(spark, sf):
-    w = p0(spark, sf).where("condition IN ('full', 'none')").groupBy("item_id").pivot("condition", ["full", "none"]).agg(F.max(CORRECT.cast("int")))
+    w = p0(spark, sf).where("condition IN ('full', 'none')").groupBy("item_id").pivot("condition", ["full", "none"]).agg(F.max(correct().cast("int")))
     w.join(catalog.items(spark, sf).select("item_id", level().alias("level")), "item_id").createOrReplaceTempView("turnstone_benefit")
     return spark.sql("SELECT level, avg(full - none) AS benefit, count(*) AS n FROM turnstone_benefit GROUP BY GROUPING SETS ((), (level))")
 
 
 @query("B15_by_category", with_sql("SELECT gold AS category, condition, avg((gold = pred)::INT) AS rate, count(DISTINCT conv_id)::BIGINT AS dialogues FROM p0 GROUP BY 1, 2"))
 def by_category(spark, sf):
-    return p0(spark, sf).groupBy(F.col("gold").alias("category"), "condition").agg(F.avg(CORRECT.cast("int")).alias("rate"), F.countDistinct("conv_id").alias("dialogues"))
+    return p0(spark, sf).groupBy(F.col("gold").alias("category"), "condition").agg(F.avg(correct().cast("int")).alias("rate"), F.countDistinct("conv_id").alias("dialogues"))
 
 
 @query("B16_standardized", with_sql(", c AS (SELECT condition, gold, avg((gold = pred)::INT) AS rate, count(*) AS n FROM p0 WHERE split = 'train' GROUP BY 1, 2), k AS (SELECT gold, sum(n) AS n FROM c GROUP BY 1 HAVING count(*) = 5) SELECT condition, sum(rate * k.n) / sum(k.n) AS standardized FROM c JOIN k USING (gold) GROUP BY 1"))
 def standardized(spark, sf):
-    c = p0(spark, sf).where("split = 'train'").groupBy("condition", "gold").agg(F.avg(CORRECT.cast("int")).alias("rate"), F.count(F.lit(1)).alias("n"))
+    c = p0(spark, sf).where("split = 'train'").groupBy("condition", "gold").agg(F.avg(correct().cast("int")).alias("rate"), F.count(F.lit(1)).alias("n"))
     k = c.groupBy("gold").agg(F.sum("n").alias("mix"), F.count(F.lit(1)).alias("levels")).where("levels = 5")
     return c.join(k, "gold").groupBy("condition").agg((F.sum(F.col("rate") * F.col("mix")) / F.sum("mix")).alias("standardized"))
 
@@ -247,8 +251,8 @@ def cell_status(spark, sf):
 @query("B26_cross_check", with_sql("SELECT condition, count_if(gold = pred)::BIGINT AS direct, sum(num)::BIGINT AS summed FROM p0 JOIN (SELECT condition AS c, count_if(gold = pred) AS num FROM p0 GROUP BY 1) v ON v.c = condition GROUP BY condition, num").replace("sum(num)::BIGINT", "num::BIGINT"))
 def cross_check(spark, sf):
     p = p0(spark, sf)
-    a = p.groupBy("condition").agg(F.count_if(CORRECT).alias("direct"))
-    b = bootstrap.vectors(p, ["condition"], "conv_id", CORRECT.cast("int"), F.lit(1)).groupBy("condition").agg(F.sum("num").cast("long").alias("summed"))
+    a = p.groupBy("condition").agg(F.count_if(correct()).alias("direct"))
+    b = bootstrap.vectors(p, ["condition"], "conv_id", correct().cast("int"), F.lit(1)).groupBy("condition").agg(F.sum("num").cast("long").alias("summed"))
     return a.join(b, "condition")
 
 
@@ -299,7 +303,7 @@ def populations(spark, sf):
 
 @query("F42_endpoints", with_sql("SELECT item_id, condition, gold = pred AS correct, pred <> 0 AS detected, gold = pred AND pred <> 0 AS exact FROM p0"))
 def endpoints(spark, sf):
-    return p0(spark, sf).select("item_id", "condition", CORRECT.alias("correct"), (F.col("pred") != 0).alias("detected"), (CORRECT & (F.col("pred") != 0)).alias("exact"))
+    return p0(spark, sf).select("item_id", "condition", correct().alias("correct"), (F.col("pred") != 0).alias("detected"), (correct() & (F.col("pred") != 0)).alias("exact"))
 
 
 @query("J28_required_runs", with_sql("SELECT c.condition, s.seed FROM conditions c, (SELECT unnest([0, 1, 2, 3]) AS seed) s WHERE NOT EXISTS (SELECT 1 FROM preds p WHERE p.condition = c.condition AND p.seed = s.seed)"))
@@ -366,16 +370,16 @@ def call_order(spark, sf):
 @query("K16_prompt_choice", with_sql(", r AS (SELECT condition AS prompt, avg((gold = pred)::INT) AS mean FROM preds WHERE condition IN ('none', 'full') GROUP BY 1) SELECT CASE WHEN max(mean) - max(CASE WHEN prompt = 'none' THEN mean END) <= 0.01 THEN 'none' ELSE arg_max(prompt, mean) END AS chosen FROM r"))
 def prompt_choice(spark, sf):
     """The best mean, but the first prompt wins within 0.01."""
-    r = p3(spark, sf).where("condition IN ('none', 'full')").groupBy(F.col("condition").alias("prompt")).agg(F.avg(CORRECT.cast("int")).alias("mean"))
+    r = p3(spark, sf).where("condition IN ('none', 'full')").groupBy(F.col("condition").alias("prompt")).agg(F.avg(correct().cast("int")).alias("mean"))
     first = F.max(F.when(F.col("prompt") == "none", F.col("mean")))
     return r.agg(F.when(F.max("mean") - first <= 0.01, "none").otherwise(F.max_by("prompt", "mean")).alias("chosen"))
 
 
 @query("K18_error_set", with_sql("SELECT item_id FROM preds WHERE condition = 'full' GROUP BY 1 HAVING avg((gold = pred)::INT) < 0.5"))
 def error_set(spark, sf):
-    return p3(spark, sf).where("condition = 'full'").groupBy("item_id").agg(F.avg(CORRECT.cast("int")).alias("v")).where("v < 0.5").select("item_id")
+    return p3(spark, sf).where("condition = 'full'").groupBy("item_id").agg(F.avg(correct().cast("int")).alias("v")).where("v < 0.5").select("item_id")
 
 
 @query("K19_lowest_failing_seed", with_sql("SELECT item_id, arg_min(pred, seed) AS pred, min(seed) AS seed FROM preds WHERE condition = 'full' AND gold <> pred GROUP BY 1"))
 def failing_seed(spark, sf):
-    return p3(spark, sf).where((F.col("condition") == "full") & ~CORRECT).groupBy("item_id").agg(F.min_by("pred", "seed").alias("pred"), F.min("seed").alias("seed"))
+    return p3(spark, sf).where((F.col("condition") == "full") & ~correct()).groupBy("item_id").agg(F.min_by("pred", "seed").alias("pred"), F.min("seed").alias("seed"))
