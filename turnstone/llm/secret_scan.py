@@ -60,7 +60,7 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """Every row of docs with ``base`` and ``spans``, arrays of (start, rank, stop) sorted by start, then kind (see ``KINDS``).
 
     ``base`` has the base spans, ``spans`` also the linked parts: a secret-like string within ``scope`` code points of an
@@ -69,16 +69,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     gives an empty result. Columns named ``base``, ``spans`` or starting with ``_`` in docs are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("base", F.array_sort(F.concat(assign_spans(text), matches(text, ACCESS, 1), matches(text, HEX, 2))))
-    has_access = F.exists("base", lambda s: s["rank"] == 1)
-    rows = rows.withColumn("_weak", F.when(has_access, F.concat(matches(text, SECRET, 3), matches(text, ENDPOINT, 4))))
-    suspect = has_access & (F.size("_weak") > 0)
-    # texts without candidates get keys that spread them over the join's partitions
-    rows = rows.withColumn("_key", F.when(suspect, F.sha2(text, 256)).otherwise(F.xxhash64(text).cast("string")))
-    parts = rows.where(suspect).select("_key", F.explode(F.concat("base", "_weak")).alias("s")).distinct().select("_key", "s.*")
-    linked = link_parts(parts, scope)
-    spans = F.array_sort(F.concat("base", F.coalesce("_linked", F.array().cast(SPAN))))
-    return rows.join(linked, "_key", "left").withColumn("spans", spans).drop("_key", "_weak", "_linked")
+    docs = docs.drop("base", "spans", "_weak", "_key", "_linked")
+    base = F.array_sort(F.concat(assign_spans(text), matches(text, ACCESS, 1), matches(text, HEX, 2)))
+    # without an access identifier nothing links: such texts, nearly all, never leave their partition
+    plain = docs.where(~text.rlike(ACCESS)).withColumn("base", base).withColumn("spans", F.col("base"))
+    named = docs.where(text.rlike(ACCESS)).withColumn("base", base).withColumn("_weak", F.concat(matches(text, SECRET, 3), matches(text, ENDPOINT, 4))).withColumn("_key", F.sha2(text, 256))
+    parts = named.where(F.size("_weak") > 0).select("_key", F.explode(F.concat("base", "_weak")).alias("s")).distinct().select("_key", "s.*")
+    linked = named.join(link_parts(parts, scope), "_key", "left")
+    linked = linked.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("_linked", F.array().cast(SPAN)))))
+    return plain.unionByName(linked.select(plain.columns))
 
 
 def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -100,20 +99,21 @@ def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_assign, n_access, n_hex (long), base_sha256 and spans as text, for every row; see ``scan``."""
-    found = scan(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    found = scan(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
     return found.select(F.col("id").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
     """docs with every found span replaced by ``mark``; overlapping spans are replaced together. Rows and other columns stay."""
-    found = scan(docs, text_col=text_col)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"))  # so no column of docs can clash
+    found = scan(rows)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        fresh = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(fresh).alias("out"))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.char_length(F.col(text_col))))
-    cleaned = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col(text_col))
-    return found.withColumn(text_col, cleaned).select(docs.columns)
+    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length(F.col("text"))))
+    cleaned = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text"))
+    return found.select(*[cleaned.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
