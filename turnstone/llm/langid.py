@@ -23,8 +23,8 @@ from turnstone.llm.texts import append
 BUCKETS = 1 << 16
 TRAIN_DOCS = 20_000  #: expected number of labelled documents in the sample that the model is fitted on
 PENALTY = 6.0  #: nats that a change of language costs
-CACHE = 300_000
-BATCH_WORDS = 2_000_000  #: words of short texts that go through Viterbi together
+CACHE = 200_000
+BATCH_WORDS = 1_000_000  #: words of short texts that go through Viterbi together
 EXCLUDED = -30.0  #: score of a language that isn't written in the word's script
 UNDETERMINED = "und"
 
@@ -263,7 +263,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", penal
     def make():
         return Labeller(sent.value, penalty).label if sent.value else lambda texts: ([UNDETERMINED] * len(texts), [0.0] * len(texts))
 
-    return append(docs, text_col, "lang_pred string, score double", make, 8192)
+    return append(docs, text_col, "lang_pred string, score double", make, 4096)
 
 
 def label_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
@@ -289,5 +289,6 @@ def predictions(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without the rows that have no language or none with at least ``least`` of the letters; all columns stay."""
     model = fit(docs, ~held_out())
-    kept = identify(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return kept.select(docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))  # so no column of docs can clash
+    kept = identify(rows, model, "_text").where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return kept.select("_row.*")

@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.llm import langid, packing, secret_scan, simhash, substring_dedup
 from turnstone.llm.scratch import Scratch
 
 
-def sized(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns given, n_chars being the text's length."""
-    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(columns)
+def with_text(rows: DataFrame, text: Column, columns: list[str]) -> DataFrame:
+    """The documents in rows' struct _row with another text and n_chars, its length; a column that documents lack isn't added."""
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return rows.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +30,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat go from the texts; a document of which nothing is left goes. Other texts stay as they are."""
-    found = substring_dedup.remove_repeats(docs)
+    found = substring_dedup.remove_repeats(docs.select(F.struct("*").alias("_row"), "text"))
     left = found.where("n_removed = 0 OR n_removed < n_words")
-    return sized(left.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))), docs.columns)
+    return with_text(left, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")), docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; all documents stay."""
-    return sized(secret_scan.redact(docs), docs.columns)
+    found = secret_scan.redact(docs.select(F.struct("*").alias("_row"), "text"))
+    return with_text(found, F.col("text"), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

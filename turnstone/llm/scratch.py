@@ -25,6 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Settings that bound a batch of rows on its way to a Python worker: rows hold whole texts, so ten thousand are too many.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"))
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the batch settings where the session has Spark's own defaults; a session's choice stays."""
+    for key, default, value in BATCHES:
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -36,6 +47,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._clean)
 

@@ -32,7 +32,7 @@ from turnstone.llm.scratch import Scratch
 LENGTH = 35
 GRAM = 8
 SHARD_SEGMENTS = 512
-CACHE = 500_000  #: words whose hashes a worker remembers
+CACHE = 200_000  #: words whose hashes a worker remembers
 PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
@@ -241,7 +241,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, shard_segments: int =
                             seen.add(name)
                             words = words or words_of(text)
                             out.append((k1, k2, w["h"], w["k"], w["c"], w["first"], w["d"], b" ".join(words[w["first"] : w["first"] + w["n"] + length - 1])))
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 8, types, strict=True)], names=names)
 
