@@ -6,10 +6,11 @@ import json
 from collections.abc import Collection
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.functions.rules import CATEGORIES
+from turnstone.shipping import ship
 
 #: Bounds of an answer and its fields.
 MOST_CHARS, MOST_SLOTS, MOST_REQUESTED, MOST_VALUE, MOST_DEPTH = 8192, 20, 20, 100, 32
@@ -93,6 +94,8 @@ def read(raw: str | None, finish: str | None, slot_keys: Collection[str]) -> dic
 def parsed(raw: Column, finish: Column, slot_keys: list[str]) -> Column:
     """The same over columns, batch by batch."""
 
+    ship(SparkSession.getActiveSession())
+
     @F.pandas_udf(SCHEMA)
     def run(r: pd.Series, f: pd.Series) -> pd.DataFrame:
         rows = [read(a, b, slot_keys) for a, b in zip(r, f, strict=True)]

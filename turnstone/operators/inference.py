@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnstone.shipping import ship
 from turnstone.sources.writers import append_new
 
 BACKENDS: dict[str, Callable[[], Callable[[list[str]], list[str]]]] = {}
@@ -33,6 +34,7 @@ def _digest():
 def ask(inputs: DataFrame, cache_path: str, name: str = "digest", key: str = "key", prompt: str = "prompt") -> DataFrame:
     """inputs with raw: answers come from the cache table at cache_path, which gets those that were missing. Returns one row per input row."""
     spark = inputs.sparkSession
+    ship(spark)
     distinct = inputs.groupBy(key).agg(F.min(prompt).alias(prompt))
     try:
         distinct = distinct.join(spark.read.parquet(cache_path).select(key), key, "left_anti")
