@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnstone.llm.scratch import prepare
 from turnstone.llm.texts import append
 
 
@@ -106,6 +107,7 @@ def fit(docs: DataFrame, seen, max_docs: int = TRAIN_DOCS, id_col: str = "doc_id
 
     Only text and label enter the model; the sample is drawn by a hash of the id, of about ``max_docs`` rows. No such row: None.
     """
+    prepare(docs.sparkSession)
     known = docs.where(seen & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     n = known.select(label_col).count()
     if not n:
@@ -268,6 +270,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", penal
 
 def label_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
     """One row per language span: id, first_word, end_word (numbers of letter runs), lang."""
+    prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

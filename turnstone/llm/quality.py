@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnstone.llm.scratch import prepare
 from turnstone.llm.texts import append
 
 WINDOW = 8
@@ -131,6 +132,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         for lang, s in sums.items():
             yield pd.DataFrame({"lang": lang, "bin": np.arange(BINS), "n": s})
 
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     got = rows.mapInPandas(run, "lang string, bin int, n double").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()  # languages x BINS rows
     return {lang: g.sort_values("bin")["n"].to_numpy() for lang, g in got.groupby("lang")}

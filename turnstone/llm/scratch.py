@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from turnstone.shipping import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Only where the session has none, and only in local mode, a temporary one is set."""
@@ -29,8 +31,9 @@ def shared_folder(spark: SparkSession) -> str:
 BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"))
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the batch settings where the session has Spark's own defaults; a session's choice stays."""
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers, and lower the batch settings where the session has Spark's own defaults; a session's choice stays."""
+    ship(spark)
     for key, default, value in BATCHES:
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, value)
@@ -47,7 +50,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        bound_batches(spark)
+        prepare(spark)
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._clean)
 

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from turnstone.llm.scratch import bound_batches
+from turnstone.llm.scratch import prepare
 
 ROWS = 256  #: rows whose texts are Python strings at once
 
 
 def append(df: DataFrame, text_col: str, fields: str, make: Callable[[], Callable[[list[str]], Sequence[Sequence]]], rows: int = ROWS) -> DataFrame:
     """df with more columns. ``make`` is called once a task; what it returns maps texts (null as "", a null list as an empty one) to one sequence per field of ``fields``."""
-    bound_batches(df.sparkSession)
+    prepare(df.sparkSession)
     added = StructType.fromDDL(fields)
     df = df.drop(*added.names)
     lists = df.schema[text_col].dataType.typeName() == "array"
