@@ -159,8 +159,9 @@ def pack(pieces: DataFrame, length: int = LENGTH, limit: int = OPEN, part_tokens
         return run
 
     while True:
-        order = [F.desc("length")] if parts == 1 else []  # the last part is small; longest first fills it best
-        dealt = rest.repartition(parts, "_row").sortWithinPartitions(*order, F.xxhash64("_row"), "_row")
+        # runs of about 1.5 times the open bins, each longest first: small pieces come when there are gaps for them
+        runs = max(1, math.ceil(rest.count() / parts / (1.5 * limit)))
+        dealt = rest.repartition(parts, "_row").sortWithinPartitions(F.pmod(F.xxhash64("_row"), F.lit(runs)), F.desc("length"), "_row")
         out = scratch.write(dealt.mapInPandas(packed(level, parts == 1), schema), f"level-{level}")
         done.append(out.where("NOT open"))
         if parts == 1:

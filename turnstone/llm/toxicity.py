@@ -56,7 +56,7 @@ def words_of(text: str) -> list[str]:
 
 
 def runs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, weights and owners of all words' subsequences of three and four letters, and each word's norm. Words' ends count as letters.
+    """Codes, weights and owners of all words' subsequences of three and four letters, and each word's norm, in which a repeated run counts anew each time. Words' ends count as letters.
 
     Codes of three letters are their own; those of four are hashed into the rest of ``CODES``.
     """
