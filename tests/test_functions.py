@@ -71,3 +71,11 @@ def test_undefined_replicates_are_excluded(spark):
     got = {r.stat: r for r in bootstrap.summary(v, ["stat"], most_excluded=0.5).collect()}
     assert (got["s"].replicates, got["s"].excluded, got["s"].p, got["s"].unstable) == (2, 1, 1.0, False)
     assert got["t"].unstable and got["t"].p is None and got["t"].low is None
+
+
+def test_blocked_replicates_equal_joined_ones(spark):
+    rows = [(f"s{s}", d, float((s * d) % 3), float(d % 4)) for s in range(3) for d in range(10, 30) if (s + d) % 5]
+    stats = spark.createDataFrame(rows, "stat string, dialogue long, num double, den double")
+    key = lambda df: sorted((r.stat, r.replicate, None if r.value is None else round(r.value, 9)) for r in df.collect())
+    joined = bootstrap.replicates(stats, bootstrap.weights(stats, "dialogue", 30, 5), ["stat"], "dialogue")
+    assert key(bootstrap.replicates_blocked(stats, "stat", "dialogue", 30, 5)) == key(joined)

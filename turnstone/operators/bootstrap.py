@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from turnstone.shipping import ship
+
 
 def vectors(rows: DataFrame, stat: list[str], cluster: str, num: Column, den: Column) -> DataFrame:
     """(stat..., cluster, num, den): each statistic's sums per dialogue; what the bootstrap needs of the rows."""
@@ -68,3 +75,40 @@ def holm(members: DataFrame, p: str = "p", order: str = "member") -> DataFrame:
     ranked = members.withColumns({"_r": F.row_number().over(Window.orderBy(q, order)), "_m": F.count(F.lit(1)).over(Window.partitionBy())})
     step = F.least(F.lit(1.0), (F.col("_m") - F.col("_r") + 1) * q)
     return ranked.withColumn("adjusted", F.max(step).over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))).drop("_r", "_m")
+
+
+MATRIX_CELLS = 16_000_000  #: statistics times dialogues up to which their sums go to every task; beyond, ``replicates`` joins
+
+
+def replicates_blocked(stats: DataFrame, stat: str, cluster: str, samples: int, seed: int) -> DataFrame:
+    """The same rows as ``weights`` and ``replicates`` give, as products of matrices.
+
+    The sums per statistic and dialogue, one table for the whole plan, are sent to the tasks if they have at most
+    ``MATRIX_CELLS`` cells; each task draws its share of the replicates and multiplies. Larger plans take the join.
+    """
+    spark = stats.sparkSession
+    size = stats.agg(F.countDistinct(stat).alias("s"), F.countDistinct(cluster).alias("d")).first()
+    if size["s"] * size["d"] > MATRIX_CELLS or not size["s"]:
+        return replicates(stats, weights(stats, cluster, samples, seed), [stat], cluster)
+    ship(spark)
+    table = stats.toPandas()
+    names, dialogues = sorted(table[stat].unique()), sorted(table[cluster].unique())
+    at = (np.searchsorted(dialogues, table[cluster]), np.searchsorted(names, table[stat]))
+    num, den = np.zeros((len(dialogues), len(names))), np.zeros((len(dialogues), len(names)))
+    num[at], den[at] = table["num"], table["den"]
+    sent = spark.sparkContext.broadcast((num, den))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        num, den = sent.value
+        n = len(num)
+        for b in batches:
+            for s in range(0, len(b), 64):
+                ids = b["id"].to_numpy()[s : s + 64]
+                w = np.stack([np.bincount([int.from_bytes(hashlib.md5(b"%d:%d:%d" % (seed, r, j)).digest()[:4], "big") % n for j in range(n)], minlength=n) for r in ids.tolist()]).astype(float)
+                d = w @ den
+                value = np.divide(w @ num, d, out=np.full_like(d, np.nan), where=d != 0)
+                yield pd.DataFrame({"_s": np.tile(np.arange(d.shape[1], dtype=np.int32), len(ids)), "replicate": np.repeat(ids, d.shape[1]), "value": value.ravel()})
+
+    made = spark.range(0, samples, 1, max(1, min(samples // 64, spark.sparkContext.defaultParallelism * 2))).mapInPandas(run, "_s int, replicate long, value double")
+    called = spark.createDataFrame([(i, x.item() if hasattr(x, "item") else x) for i, x in enumerate(names)], f"_s int, `{stat}` {dict(stats.dtypes)[stat]}")
+    return made.join(F.broadcast(called), "_s").select(stat, "replicate", F.when(~F.isnan("value"), F.col("value")).alias("value"))  # one row per statistic of the plan

@@ -383,3 +383,10 @@ def error_set(spark, sf):
 @query("K19_lowest_failing_seed", with_sql("SELECT item_id, arg_min(pred, seed) AS pred, min(seed) AS seed FROM preds WHERE condition = 'full' AND gold <> pred GROUP BY 1"))
 def failing_seed(spark, sf):
     return p3(spark, sf).where((F.col("condition") == "full") & ~correct()).groupBy("item_id").agg(F.min_by("pred", "seed").alias("pred"), F.min("seed").alias("seed"))
+
+
+@query("B25_whole_analysis", with_sql(BOOT + " " + SUMMARY.format(k="condition", t="rep")))
+def analysis(spark, sf):
+    """All statistics of a plan on one sequence of draws: sums per dialogue, replicates by blocks, intervals and p."""
+    v = bootstrap.vectors(p0(spark, sf), ["condition"], "conv_id", correct().cast("int"), F.lit(1))
+    return bootstrap.summary(bootstrap.replicates_blocked(v, "condition", "conv_id", SAMPLES, 11), ["condition"])
