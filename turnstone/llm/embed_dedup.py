@@ -97,7 +97,7 @@ def _compare(nodes: DataFrame, n: int, threshold: float, block: int, sample: int
     gaps = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
     margin = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
     sent = spark.sparkContext.broadcast((centres, gaps))
-    vector = pa.list_(pa.float32() if "float" in nodes.schema["v"].dataType.simpleString() else pa.float64())
+    cells = len(centres)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, gaps = sent.value
@@ -132,7 +132,12 @@ def _compare(nodes: DataFrame, n: int, threshold: float, block: int, sample: int
         x = matrix(t["v"])
         a = np.flatnonzero(mine == i)
         b = a if i == j else np.flatnonzero(mine == j)
-        abroad = t["visits"].to_pylist() if (home[b] != cell).any() else None
+        abroad = None
+        if (home[b] != cell).any():  # which cells each home vector visits
+            abroad = np.zeros((len(node), cells), bool)
+            visits = t["visits"].combine_chunks()
+            lengths = visits.value_lengths().fill_null(0).to_numpy()
+            abroad[np.repeat(np.arange(len(node)), lengths), visits.flatten().to_numpy()] = True
         links, labels = np.zeros(len(node), np.int64), Labels(len(node))
         for s in range(0, len(a), 512):
             p, q = np.nonzero(x[a[s : s + 512]] @ x[b].T >= threshold)
@@ -140,7 +145,7 @@ def _compare(nodes: DataFrame, n: int, threshold: float, block: int, sample: int
             if i == j:
                 keep = p < q
             elif abroad is not None:  # a pair of a home vector and a visitor that meet in both cells counts in the smaller one
-                keep = np.array([cell < h or h not in abroad[y] for y, h in zip(p.tolist(), home[q].tolist(), strict=True)], dtype=bool)
+                keep = (cell < home[q]) | ~abroad[p, home[q]]
             else:
                 keep = np.ones(len(p), dtype=bool)
             p, q = p[keep], q[keep]
