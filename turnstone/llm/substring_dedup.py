@@ -226,6 +226,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, shard_segments: int =
     marks = whole.select("k1", "k2", F.col("first").alias("a"), (F.col("first") + F.col("n") + length - 1).alias("b")).distinct()
 
     shards = segments.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.min("c").alias("least")).where("d > 1 AND least = 1").select("h", "d")
+    shards = scratch.write(shards, "shards")  # read again, both sides of the join are dealt anew and a hot anchor's rows can be split
     wanted = segments.join(shards, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "k", "c", "first", "n", "d")).alias("wanted"))
     sources = texts.select("k1", "k2", "text").join(wanted, ["k1", "k2"])
 
