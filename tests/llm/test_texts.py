@@ -205,6 +205,12 @@ def test_html():
     assert html_text.main_text("<div><a href=x>Home</a></div><p>" + "word " * 60 + "</p><div>(c) us</div>") == " ".join(["word"] * 60)
 
 
+def test_html_containers():
+    assert html_text.main_text('<body class="sidebar"><form><div class="has-sidebar"><article><p>Kept.</p><form>Name</form></article></div>Login</form></body>') == "Kept."
+    assert html_text.main_text('<main><p>Kept.</p><article class="comment"><p>Not me.</p></article><div class="widget"><article>Nor me.</article></div></main>') == "Kept."
+    assert html_text.main_text("<article><header><h1>T</h1></header><ul><li>a</li><li>b</li></ul><table><tr><td>c</td></tr></table></article>") == "T\n\na\n\nb\n\nc"
+
+
 def test_html_on_pages(spark):
     pages = spark.read.parquet(f"{DATA}/sf0.01/pages.parquet")
     for r in html_text.main_texts(pages).join(pages.select("page_id", "html"), "page_id").collect():

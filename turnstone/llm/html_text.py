@@ -34,6 +34,7 @@ CUES = frozenset(
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
 _NAMING = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_LAYOUT = ("has-", "no-", "with-", "without-")  #: names that say what a page has, not what an element is
 
 
 @dataclass
@@ -51,6 +52,7 @@ class _Open:
     tag: str
     aside: bool
     main: bool
+    form: bool = False  #: aside only because of a form, which may hold the whole page
 
 
 @dataclass
@@ -93,9 +95,11 @@ class _Reader:
         if tag in VOID or tag == "p":
             return
         above = self.stack[-1] if self.stack else _Open("", False, False)
-        cues = {w for _, v in _NAMING.findall(attributes) for w in _WORD.findall(v.lower())} & CUES
-        aside = above.aside or tag in ASIDE or bool(cues) or (tag == "header" and not above.main)
-        self.stack.append(_Open(tag, aside, (above.main or tag in MAIN) and not aside))
+        named = [n for _, v in _NAMING.findall(attributes) for n in v.lower().strip("\"'").split() if not n.startswith(_LAYOUT)]
+        cued = tag not in ("html", "body") and any(w in CUES for n in named for w in _WORD.findall(n))
+        hard = (above.aside and not above.form) or cued or tag in ASIDE - {"form"} or (tag == "header" and not above.main)
+        form = not hard and tag not in MAIN and (above.form or tag == "form")
+        self.stack.append(_Open(tag, hard or form, (above.main or tag in MAIN) and not (hard or form), form))
 
     def close(self, tag: str) -> None:
         if tag == "a":
