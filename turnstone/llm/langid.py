@@ -102,13 +102,13 @@ class Model:
         return np.where(self.allowed[script], total, total + EXCLUDED).astype(np.float32)
 
 
-def fit(docs: DataFrame, seen, max_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
-    """Counts over a bounded sample of the rows for which ``seen`` (a Column) holds and the label isn't null.
+def fit(docs: DataFrame, learn, max_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
+    """Counts over a bounded sample of the rows for which ``learn`` (a Column) holds and the label isn't null.
 
     Only text and label enter the model; the sample is drawn by a hash of the id, of about ``max_docs`` rows. No such row: None.
     """
     prepare(docs.sparkSession)
-    known = docs.where(seen & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    known = docs.where(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     n = known.select(label_col).count()
     if not n:
         return None
@@ -254,6 +254,11 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
+def seen(id_col: str = "doc_id"):
+    """Rows to learn from; a null id belongs to neither side."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2
+
+
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
     """Rows of docs with lang_pred string and score double (the share of the text's letters that the language holds).
 
@@ -285,13 +290,13 @@ def label_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 def predictions(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document, learned from those that aren't held out."""
-    model = fit(docs, ~held_out())
+    model = fit(docs, seen())
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without the rows that have no language or none with at least ``least`` of the letters; all columns stay."""
-    model = fit(docs, ~held_out())
+    model = fit(docs, seen())
     rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))  # so no column of docs can clash
     kept = identify(rows, model, "_text").where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
     return kept.select("_row.*")
