@@ -77,7 +77,7 @@ def holm(members: DataFrame, p: str = "p", order: str = "member") -> DataFrame:
     return ranked.withColumn("adjusted", F.max(step).over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))).drop("_r", "_m")
 
 
-MATRIX_CELLS = 16_000_000  #: statistics times dialogues up to which their sums go to every task; beyond, ``replicates`` joins
+MATRIX_CELLS = 4_000_000  #: statistics times dialogues up to which their sums go to every task; beyond, ``replicates`` joins
 
 
 def replicates_blocked(stats: DataFrame, stat: str, cluster: str, samples: int, seed: int) -> DataFrame:
