@@ -228,7 +228,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, shard_segments: int =
     shards = segments.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.min("c").alias("least")).where("d > 1 AND least = 1").select("h", "d")
     shards = scratch.write(shards, "shards")  # read again, both sides of the join are dealt anew and a hot anchor's rows can be split
     wanted = segments.join(shards, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "k", "c", "first", "n", "d")).alias("wanted"))
-    sources = texts.select("k1", "k2", "text").join(wanted, ["k1", "k2"])
+    # written first, so that both sides of the join are dealt by it and a text with very many copies can be split
+    sources = texts.select("k1", "k2", "text").join(scratch.write(wanted, "wanted"), ["k1", "k2"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # copies of a text give the same segments; most go here, the rest in the shard
@@ -290,7 +291,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, shard_segments: int =
     large = scratch.write(large, "windows")
     often = large.distinct().groupBy("w1", "w2").agg(F.sum("c").alias("c")).where("c > 1").select("w1", "w2")
     marks = marks.unionByName(large.where("c = 1").join(often, ["w1", "w2"], "left_semi").select("k1", "k2", "a", (F.col("a") + length).alias("b")))
-    return marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return scratch.write(marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
