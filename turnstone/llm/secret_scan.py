@@ -22,8 +22,12 @@ ACCESS = "AKIA[A-Z0-9]{14,}"  # a shorter run has no match inside that is long e
 HEX = "[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 
-#: Parts that are weak by themselves.
-SECRET = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,}={0,2}"
+#: Parts that are weak by themselves. A secret starts where its own alphabet does, so after '=' or ':' too; a run with '-' or '_'
+#: and without '+' and '/' is read whole, as URL-safe, and is not the name of an assignment.
+_MIXED = "(?={0}*[0-9])(?={0}*[a-z])(?={0}*[A-Z])"
+_URL_SAFE = "(?<![A-Za-z0-9+/_-])" + _MIXED.format("[A-Za-z0-9_-]") + "[A-Za-z0-9_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])"
+_PLAIN = "(?<![A-Za-z0-9+/])" + _MIXED.format("[A-Za-z0-9+/]") + "[A-Za-z0-9+/]{32,}={0,2}"
+SECRET = f"{_URL_SAFE}|{_PLAIN}"
 ENDPOINT = r"(?:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+"
 SCOPE = 400
 
