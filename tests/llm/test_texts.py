@@ -203,6 +203,13 @@ def test_quality_separates_junk(spark):
     assert r[r["quality"] == 0]["kept"].mean() <= 0.7
 
 
+def test_quality_separates_short_junk(spark):
+    d = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet")
+    r = quality.verdicts(d).where("NOT base_failed AND n_words < 150").join(spark.read.parquet(f"{DATA}/sf0.1/labels.parquet"), "doc_id").toPandas()
+    assert r["word_distance"].notna().all()
+    assert r[r["quality"] == 1]["kept"].mean() >= 0.99 and r[r["quality"] == 0]["kept"].mean() <= 0.1
+
+
 def test_quality_odd_rows(spark, odd_docs, no_docs):
     assert quality.verdicts(odd_docs).count() == odd_docs.count() and quality.verdicts(no_docs).count() == 0
     assert quality.js_distance(np.array([1.0, 0.0]), np.array([[1.0, 0.0], [0.0, 1.0]])).tolist() == [0.0, 1.0]

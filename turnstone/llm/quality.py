@@ -3,7 +3,8 @@
 Two histograms of a text, of character classes and of common words, are compared with references by the Jensen-Shannon
 distance (root of the divergence in bits, 0 to 1). The references are the sums of the same counts over all documents of a
 language, a few dozen numbers per language. The language nearest to the text decides, so no label of the text is used. As
-short texts scatter, each comparison has a least length below which it says nothing.
+short texts scatter, the classes have a least length below which they say nothing, and the bound of the words' distance has a
+term for that noise, which falls with the root of the number of words.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from turnstone.llm.texts import append
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  #: percent of words
-CLASS_LENGTH, WORD_LENGTH = 200, 150  #: least characters and words for the two comparisons
-CLASS_DISTANCE, WORD_DISTANCE = 0.28, 0.3  #: greater distances fail
+CLASS_LENGTH, WORD_LENGTH = 200, LEAST_WORDS  #: least characters and words for the two comparisons
+CLASS_DISTANCE, WORD_DISTANCE, WORD_NOISE = 0.28, 0.2, 1.1  #: greater distances fail; see word_bound
 
 #: Common words of the languages that are told apart (fixed values).
 COMMON = (
@@ -75,6 +76,11 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         return np.sqrt(np.clip((kl(np.broadcast_to(p, q.shape)) + kl(q)) / 2, 0, 1))
 
 
+def word_bound(n_words: int) -> float:
+    """The greatest word distance that a text of so many words may have."""
+    return WORD_DISTANCE + WORD_NOISE / n_words**0.5
+
+
 class Counter:
     """Base counts and histograms of texts. Words are numbered; numbers hold within a call."""
 
@@ -155,12 +161,13 @@ def judge(docs: DataFrame, known: dict[str, np.ndarray], text_col: str = "text")
             failed = (base[:, 0] < LEAST_WORDS) | (100 * base[:, 4] > MOST_REPEATED * base[:, 0])
             far_c, far_w = [None] * len(texts), [None] * len(texts)
             for i, (d, w) in enumerate(zip(data, words, strict=True)):
-                if len(classes) and len(texts[i]) >= CLASS_LENGTH:
+                if len(classes) and (len(texts[i]) >= CLASS_LENGTH or len(w) >= WORD_LENGTH):
                     h = histograms(d, w)
-                    far_c[i] = float(js_distance(h[:7] / h[:7].sum(), classes).min())
+                    if len(texts[i]) >= CLASS_LENGTH:
+                        far_c[i] = float(js_distance(h[:7] / h[:7].sum(), classes).min())
                     if len(w) >= WORD_LENGTH:
                         far_w[i] = float(js_distance(h[7:] / h[7:].sum(), common).min())
-            kept = [not f and (c is None or c <= CLASS_DISTANCE) and (w is None or w <= WORD_DISTANCE) for f, c, w in zip(failed, far_c, far_w, strict=True)]
+            kept = [not f and (c is None or c <= CLASS_DISTANCE) and (w is None or w <= word_bound(n)) for f, c, w, n in zip(failed, far_c, far_w, base[:, 0].tolist(), strict=True)]
             return (*base.T.tolist(), failed.tolist(), far_c, far_w, kept)
 
         return run
