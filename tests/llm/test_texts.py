@@ -81,14 +81,29 @@ def slow_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("shard", [512, 1])
-def test_substring_dedup_against_brute_force(spark, shard):
+@pytest.mark.parametrize("members", [4096, 30, 1])
+def test_substring_dedup_against_brute_force(spark, members):
     rng = np.random.default_rng(3)
     draw = lambda n, v=200: " ".join(f"w{x}" for x in rng.integers(0, v, n))
     passage = draw(80)
     texts = [draw(60) + " " + passage + " " + draw(30) for _ in range(12)] + [passage] * 3 + [draw(100, 2) for _ in range(3)] + ["a b c d e " * 40, "x " * 200, "", None, draw(34), "ü " + passage[:200]]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
-    got = [(r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(df, shard_segments=shard).orderBy("doc_id").collect()]
+    got = [(r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(df, members=members).orderBy("doc_id").collect()]
+    assert got == slow_repeats(texts, 35)
+
+
+@pytest.mark.parametrize("members", [4096, 100])
+def test_substring_dedup_of_two_thousand_near_copies(spark, members):
+    """A text of 200 words in 2,000 copies, ten words changed in each, by themselves or within other words."""
+    rng = np.random.default_rng(7)
+    base, texts = [f"w{x}" for x in rng.integers(0, 500, 200)], []
+    for i in range(2000):
+        words = list(base)
+        for x in rng.integers(0, 200, 10):
+            words[x] = f"n{rng.integers(0, 50)}"
+        texts.append(" ".join(words) if i % 3 else " ".join([f"u{i}", *words[i % 90 : 150], f"v{i}"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(df, members=members).orderBy("doc_id").collect()]
     assert got == slow_repeats(texts, 35)
 
 

@@ -9,12 +9,15 @@ each document meet each shard, which grows with the square of the corpus, so doc
 2. Anchors are counted over the corpus. A window whose anchor stands nowhere else is unique; most text ends here, and only
    counts have moved.
 3. The other windows of one anchor form a segment. Equal segments fall together with map-side combine; a segment that
-   occurs twice repeats as a whole and needs no search. The different segments of an anchor meet in one reference shard.
-4. A shard's task builds the suffix automaton of its segments and streams each segment through it for matching statistics:
-   at every word, the longest suffix that occurs at least twice. Where it has ``length`` words or more, they repeat.
-5. An anchor with more different segments than ``SHARD_SEGMENTS``, a passage that a good part of the corpus quotes, would
-   fill one task. Its windows are counted one by one instead, by 128-bit fingerprints with map-side combine, which is exact
-   up to such fingerprints' collisions and needs no group in one place.
+   occurs twice repeats as a whole and needs no search.
+4. A segment is cut in two by the place of the anchor in the window: windows that have more words left of it and windows that
+   have more right of it. All windows of a half share their middle, the anchor and half of the other words, so a half goes to
+   the one reference shard that is named by those words, and equal windows meet. Equal halves fall together again.
+5. A shard's task builds the suffix automaton of its halves and streams each through it for matching statistics: at every
+   word, the longest suffix that occurs at least twice. Where it has ``length`` words or more, they repeat.
+6. A shard with more than ``MEMBERS`` different halves, a passage that a good part of the corpus quotes with changes, would be
+   much for one task. Its halves are cut in two again by the same rule, with a longer middle, and go to the shards of their
+   parts, until shards are small; at the latest when a part is one window, equal parts have fallen together.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from turnstone.llm.scratch import Scratch
 
 LENGTH = 35
 GRAM = 8
-SHARD_SEGMENTS = 512
+MEMBERS = 4_096  #: different parts of segments in one shard; a larger shard is dealt into shards of smaller parts
 CACHE = 200_000  #: words whose hashes a worker remembers
 PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -77,10 +80,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def anchors(texts: list[list[bytes]], hashes: WordHashes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, hash, segment's hash, first window, number of windows) of every run of windows that share their leftmost smallest run of ``gram`` words."""
+    """(text, hash, segment's hash, first window, number of windows, words before the anchor) of every run of windows that share their leftmost smallest run of ``gram`` words."""
     counts = np.array([len(t) for t in texts], dtype=np.int64)
     flat = np.array([hashes[w] for t in texts for w in t], dtype=np.uint64)
-    empty = tuple(np.zeros(0, np.int64) for _ in range(5))
+    empty = tuple(np.zeros(0, np.int64) for _ in range(6))
     if len(flat) < length:
         return empty
     value = rolled(flat, gram)
@@ -100,7 +103,7 @@ def anchors(texts: list[list[bytes]], hashes: WordHashes, length: int = LENGTH,
     changes = np.flatnonzero(~inside | np.concatenate(([True], (place[1:] != place[:-1]) | ~inside[:-1])))
     ends = np.append(changes, len(value))[np.searchsorted(changes, starts, side="right")]
     at = np.concatenate(([0], np.cumsum(counts)))[owner[starts]]
-    return owner[starts], value[starts].view(np.int64), spans_hash(flat, starts, ends + length - 1).view(np.int64), starts - at, ends - starts
+    return owner[starts], value[starts].view(np.int64), spans_hash(flat, starts, ends + length - 1).view(np.int64), starts - at, ends - starts, place[starts] - starts
 
 
 def spans_hash(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -191,48 +194,76 @@ class Automaton:
         return spans
 
 
+def halves(lo: int, hi: int) -> list[tuple[int, int]]:
+    """A range of numbers of words before the anchor, cut in two."""
+    return [(lo, (lo + hi) // 2), ((lo + hi) // 2 + 1, hi)] if hi > lo else []
+
+
+def part(words: list[bytes], lead: int, lo: int, hi: int, length: int) -> tuple[int, int, list[bytes], bytes, bytes] | None:
+    """The windows with ``lo`` to ``hi`` words before the anchor, out of a run of words whose first window has ``lead``.
+
+    Returns (first word, words before the anchor, words, digest of what all such windows share, digest of the whole), or None.
+    """
+    most, least = min(hi, lead), max(lo, lead - (len(words) - length))
+    if least > most:
+        return None
+    own = words[lead - most : lead - least + length]
+    tag = b"%d %d " % (lo, hi)
+    shared = words[lead - lo : lead - hi + length]
+    return lead - most, most, own, xxhash.xxh128_digest(tag + b" ".join(shared)), xxhash.xxh128_digest(tag + b"%d " % most + b" ".join(own))
+
+
 _KEY = "k1 long, k2 long"
 _MARK = f"{_KEY}, a int, b int"
+_PART = f"{_KEY}, a int, n int, lo int, hi int, lead int, c long, s1 long, s2 long, f1 long, f2 long, words binary"
+_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+_NAMES = "k1 k2 a n lo hi lead c s1 s2 f1 f2 words".split()
+
+
+def batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=names)
+
+
+def part_rows(k1: int, k2: int, first: int, c: int, words: list[bytes], lead: int, ranges: list[tuple[int, int]], length: int) -> Iterator[tuple]:
+    for lo, hi in ranges:
+        if cut := part(words, lead, lo, hi, length):
+            at, most, own, shared, whole = cut
+            ids = [int.from_bytes(d[x : x + 8], "little", signed=True) for d in (shared, whole) for x in (0, 8)]
+            yield (k1, k2, first + at, len(own), lo, hi, most, c, *ids, b" ".join(own))
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = LENGTH, members: int = MEMBERS) -> DataFrame:
     """texts: (k1, k2, text), k1 and k2 being hashes of the text; copies of a text stand in as many rows as there are.
 
     Returns (k1, k2, spans array<struct<a, b>>): words a to b, b left out, that repeat; spans may touch or overlap.
     """
     scratch = Scratch(texts.sparkSession, "substring")
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 256):
-                words = [words_of(t) for t in whole.slice(s, 256)["text"].to_pylist()]
-                yield pa.record_batch([anchors(words, known_hashes(), length)[1]], names=["h"])
-
-    dup = scratch.write(texts.select("text").mapInArrow(heads, "h long").groupBy("h").count().where("count > 1").select("h"), "anchors")
-
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for s in range(0, whole.num_rows, 256):
                 b = whole.slice(s, 256)
-                owner, h, k, first, n = anchors([words_of(t) for t in b["text"].to_pylist()], known_hashes(), length)
+                owner, h, k, first, n, lead = anchors([words_of(t) for t in b["text"].to_pylist()], known_hashes(), length)
                 owner = pa.array(owner)
-                yield pa.record_batch([b["k1"].take(owner), b["k2"].take(owner), h, k, first.astype(np.int32), n.astype(np.int32)], names=["k1", "k2", "h", "k", "first", "n"])
+                yield pa.record_batch([b["k1"].take(owner), b["k2"].take(owner), h, k, *(x.astype(np.int32) for x in (first, n, lead))], names=["k1", "k2", "h", "k", "first", "n", "lead"])
 
-    found = texts.select("k1", "k2", "text").mapInArrow(runs, f"{_KEY}, h long, k long, first int, n int").join(dup, "h", "left_semi")
-    found = scratch.write(found, "runs")
-    segments = found.groupBy("h", "k").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "first", "n")).alias("one"))
+    every = scratch.write(texts.select("k1", "k2", "text").mapInArrow(runs, f"{_KEY}, h long, k long, first int, n int, lead int"), "every")
+    dup = scratch.write(every.groupBy("h").count().where("count > 1").select("h"), "anchors")
+    found = scratch.write(every.join(dup, "h", "left_semi"), "runs")
+    scratch.drop("every")
+    segments = found.groupBy("h", "k").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "first", "n", "lead")).alias("one"))
     segments = scratch.write(segments.select("h", "k", "c", "one.*"), "segments")
     whole = found.join(segments.where("c > 1").select("h", "k"), ["h", "k"], "left_semi")
     marks = whole.select("k1", "k2", F.col("first").alias("a"), (F.col("first") + F.col("n") + length - 1).alias("b")).distinct()
 
-    shards = segments.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.min("c").alias("least")).where("d > 1 AND least = 1").select("h", "d")
-    shards = scratch.write(shards, "shards")  # read again, both sides of the join are dealt anew and a hot anchor's rows can be split
-    wanted = segments.join(shards, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "k", "c", "first", "n", "d")).alias("wanted"))
+    several = segments.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.min("c").alias("least")).where("d > 1 AND least = 1").select("h")
+    several = scratch.write(several, "several")  # read again, both sides of the join are dealt anew and a hot anchor's rows can be split
+    wanted = segments.join(several, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("c", "first", "n", "lead", "h", "k")).alias("wanted"))
     # written first, so that both sides of the join are dealt by it and a text with very many copies can be split
     sources = texts.select("k1", "k2", "text").join(scratch.write(wanted, "wanted"), ["k1", "k2"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # copies of a text give the same segments; most go here, the rest in the shard
+        seen: set[tuple[int, int]] = set()  # copies of a text give the same segments; most go here, the rest when parts fall together
         for whole in batches:
             for s in range(0, whole.num_rows, 64):
                 b, out = whole.slice(s, 64), []
@@ -242,59 +273,64 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, shard_segments: int =
                         if (name := (w["h"], w["k"])) not in seen:
                             seen.add(name)
                             words = words or words_of(text)
-                            out.append((k1, k2, w["h"], w["k"], w["c"], w["first"], w["d"], b" ".join(words[w["first"] : w["first"] + w["n"] + length - 1])))
+                            out += part_rows(k1, k2, w["first"], w["c"], words[w["first"] : w["first"] + w["n"] + length - 1], w["lead"], halves(0, length - GRAM), length)
                 if len(seen) > 100_000:
                     seen.clear()
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 8, types, strict=True)], names=names)
+                yield batch(out, _TYPES, _NAMES)
 
-    names = ["k1", "k2", "h", "k", "c", "first", "d", "words"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-    cuts = scratch.write(sources.mapInArrow(cut, f"{_KEY}, h long, k long, c long, first int, d long, words binary"), "cuts")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k1, k2, a, lo, hi, lead, c, line in zip(*(b[x].to_pylist() for x in ("k1", "k2", "a", "lo", "hi", "lead", "c", "words")), strict=True):
+                out += part_rows(k1, k2, a, c, line.split(b" "), lead, halves(lo, hi), length)
+            yield batch(out, _TYPES, _NAMES)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
-            distinct = {r[3]: (r, r[6].split(b" ")) for r in rows}
+            distinct = {r[:2]: r for r in rows}
             automaton = Automaton()
-            for r, words in distinct.values():
-                automaton.add(words, r[4])
+            parts = [(r, r[-1].split(b" ")) for r in distinct.values()]
+            for r, words in parts:
+                automaton.add(words, r[5])
             automaton.finish()
-            return [(r[0], r[1], r[5] + a, r[5] + b) for r, words in distinct.values() if r[4] == 1 for a, b in automaton.repeated(words, length)]
+            return [(r[2], r[3], r[4] + a, r[4] + b) for r, words in parts if r[5] == 1 for a, b in automaton.repeated(words, length)]
 
-        held: list[tuple] = []
+        held, name, spot = [], None, [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         for b in batches:
             out: list[tuple[int, int, int, int]] = []
-            for r in zip(*(b[c].to_pylist() for c in ("k1", "k2", "h", "k", "c", "first", "words")), strict=True):
-                if held and r[2] != held[0][2]:
+            for s1, s2, *r in zip(*(b[c].to_pylist() for c in ("s1", "s2", "f1", "f2", "k1", "k2", "a", "c", "words")), strict=True):
+                if held and (s1, s2) != name:
                     out += shard(held)
                     held = []
-                held.append(r)
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 4, spot, strict=True)], names=["k1", "k2", "a", "b"])
+                name = (s1, s2)
+                held.append(tuple(r))
+            yield batch(out, spot, ["k1", "k2", "a", "b"])
         if held:
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*(shard(held) or [(0, 0, 0, 0)]), strict=True), spot, strict=True)], names=["k1", "k2", "a", "b"])
-
-    spot = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    small = cuts.where(F.col("d") <= shard_segments).repartition("h").sortWithinPartitions("h")
-    marks = marks.unionByName(small.mapInArrow(match, _MARK).where("b > a"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        for b in batches:
-            out = []
-            for k1, k2, c, first, line in zip(*(b[x].to_pylist() for x in ("k1", "k2", "c", "first", "words")), strict=True):
-                words = line.split(b" ")
-                for i in range(len(words) - length + 1):
-                    d = xxhash.xxh128_digest(b" ".join(words[i : i + length]))
-                    out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), k1, k2, first + i, c))
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["w1", "w2", "k1", "k2", "a", "c"])
-
-    large = cuts.where(F.col("d") > shard_segments).mapInArrow(windows, f"w1 long, w2 long, {_KEY}, a int, c long")
-    large = scratch.write(large, "windows")
-    often = large.distinct().groupBy("w1", "w2").agg(F.sum("c").alias("c")).where("c > 1").select("w1", "w2")
-    marks = marks.unionByName(large.where("c = 1").join(often, ["w1", "w2"], "left_semi").select("k1", "k2", "a", (F.col("a") + length).alias("b")))
+            yield batch(shard(held), spot, ["k1", "k2", "a", "b"])
+
+    whole_part, shard_name, level = ["s1", "s2", "f1", "f2"], ["s1", "s2"], 0
+    parts = scratch.write(sources.mapInArrow(cut, _PART), "parts-0")
+    while True:
+        # copies of one part of one text are one; parts with the same words in different places are counted
+        places = parts.groupBy(*whole_part, "k1", "k2", "a").agg(F.max("c").alias("c"))
+        keys = scratch.write(places.groupBy(*whole_part).agg(F.sum("c").alias("c"), F.min(F.struct("k1", "k2", "a")).alias("one")), f"keys-{level}")
+        shards = keys.groupBy(*shard_name).agg(F.count(F.lit(1)).alias("d"), F.min("c").alias("least")).where("d > 1 AND least = 1").select(*shard_name, "d")
+        shards = scratch.write(shards, f"shards-{level}")
+        folded = parts.where("c = 1").join(keys.where("c > 1").select(*whole_part), whole_part, "left_semi")
+        marks = marks.unionByName(folded.select("k1", "k2", "a", (F.col("a") + F.col("n")).alias("b")).distinct())
+        # one of the places of each part of a shard that isn't unique goes on, with the number of all
+        one = scratch.write(keys.join(shards, shard_name).select(*whole_part, "c", "d", "one.*"), f"one-{level}")
+        picked = parts.drop("c").join(one, [*whole_part, "k1", "k2", "a"])
+        small = picked.where(F.col("d") <= members).repartition(*shard_name).sortWithinPartitions(*shard_name)
+        marks = marks.unionByName(small.mapInArrow(match, _MARK))
+        if shards.where(F.col("d") > members).isEmpty():
+            break
+        level += 1
+        parts = scratch.write(picked.where(F.col("d") > members).mapInArrow(deal, _PART), f"parts-{level}")
     return scratch.write(marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, members: int = MEMBERS) -> DataFrame:
     """docs with n_words long, n_removed long and kept string: the words that no repeated passage covers, joined by one space.
 
     A passage of ``length`` words repeats if its word sequence also starts anywhere else, in the same text too; all its
@@ -303,7 +339,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     """
     own = docs.drop("k1", "k2", "spans", "n_words", "n_removed", "kept")
     keyed = own.withColumns({"k1": F.xxhash64(text_col), "k2": F.xxhash64(F.lit(7), text_col)})
-    spans = repeated_spans(keyed.where(F.col(text_col).isNotNull()).select("k1", "k2", F.col(text_col).alias("text")), length, shard_segments)
+    spans = repeated_spans(keyed.where(F.col(text_col).isNotNull()).select("k1", "k2", F.col(text_col).alias("text")), length, members)
     joined = keyed.join(spans, ["k1", "k2"], "left").select(*own.columns, "spans")
     at, n = own.columns.index(text_col), len(own.columns)
     names = [*own.columns, "n_words", "n_removed", "kept"]
