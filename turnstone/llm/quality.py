@@ -2,14 +2,17 @@
 
 Two histograms of a text, of character classes and of common words, are compared with references by the Jensen-Shannon
 distance (root of the divergence in bits, 0 to 1). The references are the sums of the same counts over all documents of a
-language, a few dozen numbers per language. The language nearest to the text decides, so no label of the text is used. As
+language, a few hundred numbers per language; its common words are learned from the same documents, as those that make up a
+given share of its words. The language nearest to the text decides, so no label of the text is used. As
 short texts scatter, the classes have a least length below which they say nothing, and the bound of the words' distance has a
 term for that noise, which falls with the root of the number of words.
 """
 
 from __future__ import annotations
 
+from collections import Counter as Tally
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,17 +26,10 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  #: percent of words
 CLASS_LENGTH, WORD_LENGTH = 200, LEAST_WORDS  #: least characters and words for the two comparisons
-CLASS_DISTANCE, WORD_DISTANCE, WORD_NOISE = 0.28, 0.2, 1.1  #: greater distances fail; see word_bound
-
-#: Common words of the languages that are told apart (fixed values).
-COMMON = (
-    "the of and to in a is that it for on was with as be by this are or an from at not he his but have had they you which one we all their "
-    "der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei "
-    "la de que el en y los se del las por un con una su para es al lo como más o pero sus le ha me si sin sobre "
-    "le et les à des en du une est dans qui pas pour au ce sur plus par il ne son avec ou mais comme elle"
-)
-WORDS = list(dict.fromkeys(COMMON.split()))
-_WORD_NUMBER = {w: k for k, w in enumerate(WORDS)}
+CLASS_DISTANCE, WORD_DISTANCE, WORD_NOISE = 0.28, 0.18, 1.3  #: greater distances fail; see word_bound
+
+COMMON_SHARE = 1 / 400  #: a word is common in a language of whose words it makes up this share; so there are at most 400
+REFERENCE_WORDS = 1_000  #: a language with fewer words in all documents has no reference
 _SYMBOLS = [ord(c) for c in "#*$%&|<>"]
 
 
@@ -50,26 +46,40 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
-BINS = CLASSES.shape[1] + len(WORDS) + 1
+#: Words are compared with marks cut off and A-Z in lower case.
+_PLAIN = bytes(ord(" ") if chr(b) in ".,;:!?\"()|" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def plain_words(data: bytes) -> list[bytes]:
+    return data.translate(_PLAIN).split()
 
 
-def histograms(data: bytes, words: list[bytes]) -> np.ndarray:
-    """Counts of character classes, common words and other words."""
-    out = np.zeros(BINS)
-    out[:7] = np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ CLASSES
-    found = [_WORD_NUMBER.get(w) for w in data.decode("utf-8", "replace").lower().translate(_MARKS).split()]
-    hits = np.array([k for k in found if k is not None], dtype=np.int64)
-    out[7:-1] = np.bincount(hits, minlength=len(WORDS))
-    out[-1] = len(words) - min(len(hits), len(words))
-    return out
+def class_counts(data: bytes) -> np.ndarray:
+    return np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ CLASSES
 
 
-_MARKS = str.maketrans(dict.fromkeys(".,;:!?\"()|", " "))
+@dataclass
+class References:
+    """languages; classes (K, 7), shares; words: number of every common word; own (K, n): numbers of each language's, -1 for none; common (K, n + 1): their shares, and that of all others."""
+
+    languages: list[str]
+    classes: np.ndarray
+    words: dict[bytes, int]
+    own: np.ndarray
+    common: np.ndarray
+
+    def word_distance(self, data: bytes, n_words: int) -> float:
+        """To the nearest language."""
+        found = np.fromiter((k for k in map(self.words.get, plain_words(data)) if k is not None), np.int64)
+        counts = np.append(np.bincount(found, minlength=len(self.words)), 0)[self.own] / n_words
+        rest = np.maximum(1 - counts.sum(axis=1, keepdims=True), 0)
+        p = np.concatenate((counts, rest), axis=1)
+        return float(js_distance(p / p.sum(axis=1, keepdims=True), self.common).min())
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance of one distribution p (n) to each row of q (k, n)."""
-    p = p[None, :]
+    """Jensen-Shannon distance of a distribution p (n), or of each row of p (k, n), to each row of q (k, n)."""
+    p = np.atleast_2d(p)
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         kl = lambda a: np.where(a > 0, a * np.log2(a / m), 0).sum(axis=1)
@@ -81,6 +91,11 @@ def word_bound(n_words: int) -> float:
     return WORD_DISTANCE + WORD_NOISE / n_words**0.5
 
 
+def doubled(same: np.ndarray) -> np.ndarray:
+    """Which entries of a sorted list equal a neighbour; ``same`` says it of each and the one before."""
+    return np.concatenate((same, [False])) | np.concatenate(([False], same))
+
+
 class Counter:
     """Base counts and histograms of texts. Words are numbered; numbers hold within a call."""
 
@@ -117,56 +132,105 @@ class Counter:
             h = (h + owner[:n].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
             inside = np.flatnonzero(owner[:n] == owner[WINDOW - 1 :])
             order = inside[np.argsort(h[inside], kind="stable")]
-            same = h[order][1:] == h[order][:-1]
+            order = order[doubled(h[order][1:] == h[order][:-1])[: len(order)]]  # then the words themselves decide
+            columns = [owner[order], *(flat[order + j] for j in range(WINDOW))]
+            by_word = np.lexsort(columns) if len(order) else order
+            order, columns = order[by_word], [c[by_word] for c in columns]
+            starts = order[doubled(np.all([c[1:] == c[:-1] for c in columns], axis=0))] if len(order) else order
             twice = np.zeros(len(flat) + 1, np.int64)
-            starts = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(order) else order
             np.add.at(twice, starts, 1)
             np.add.at(twice, np.minimum(starts + WINDOW, len(flat)), -1)
             out[:, 4] = np.bincount(owner[np.cumsum(twice)[:-1] > 0], minlength=len(texts))
         return data, words, out
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """Histograms summed over all documents of each language that is not null. Texts and languages may be null: those rows count nowhere."""
+def labelled(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+
+
+def candidates(rows: DataFrame, share: float) -> list[tuple[str, bytes]]:
+    """(language, word) of all words that may have the share: one that has it in all documents has it in those of some task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
+        held: dict[str, Tally] = {}
+        size = 0
+
+        def out() -> pd.DataFrame:
+            found = [(lang, w) for lang, t in held.items() for bound in [share * t.total()] for w, n in t.items() if n >= bound]
+            return pd.DataFrame(found, columns=["lang", "word"])
+
         for b in batches:
             for lang, text in zip(b["lang"], b["text"], strict=True):
-                data = text.encode("utf-8", "replace")
-                sums.setdefault(lang, np.zeros(BINS))[:] += histograms(data, data.split())
-        for lang, s in sums.items():
-            yield pd.DataFrame({"lang": lang, "bin": np.arange(BINS), "n": s})
+                held.setdefault(lang, Tally()).update(plain_words(text.encode("utf-8", "replace")))
+            if (size := sum(map(len, held.values()))) > 500_000:  # the words of a part of the task's documents, for which the same holds
+                yield out()
+                held.clear()
+        if size:
+            yield out()
 
-    prepare(docs.sparkSession)
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    got = rows.mapInPandas(run, "lang string, bin int, n double").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()  # languages x BINS rows
-    return {lang: g.sort_values("bin")["n"].to_numpy() for lang, g in got.groupby("lang")}
+    found = rows.mapInPandas(run, "lang string, word binary").distinct().collect()  # at most 1 / share words a language, task and part
+    return sorted((r["lang"], bytes(r["word"])) for r in found if bytes(r["word"]).decode("utf-8", "replace").isalpha())
 
 
-def judge(docs: DataFrame, known: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = COMMON_SHARE, least: int = REFERENCE_WORDS) -> References | None:
+    """Shares over all documents of each language that is not null. Rows with a null text or language count nowhere; no language with ``least`` words: None."""
+    prepare(docs.sparkSession)
+    rows = labelled(docs, text_col, lang_col)
+    may = candidates(rows, share)
+    words = {w: k for k, w in enumerate(sorted({w for _, w in may}))}
+    bins = 8 + len(words)  # classes, number of words, words
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for lang, text in zip(b["lang"], b["text"], strict=True):
+                data = text.encode("utf-8", "replace")
+                s = sums.setdefault(lang, np.zeros(bins))
+                s[:7] += class_counts(data)
+                s[7] += len(data.split())
+                s[8:] += np.bincount(np.fromiter((k for k in map(words.get, plain_words(data)) if k is not None), np.int64), minlength=len(words))
+        for lang, s in sums.items():
+            some = np.flatnonzero(s)
+            yield pd.DataFrame({"lang": lang, "bin": some, "n": s[some]})
+
+    summed = rows.mapInPandas(run, "lang string, bin int, n double").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    enough = summed.where(f"bin = 7 AND n >= {least}").select("lang")
+    got = summed.join(enough, "lang", "left_semi").toPandas()  # languages with a reference x bins
+    table = {lang: np.zeros(bins) for lang in sorted(got["lang"].unique())}
+    for lang, g in got.groupby("lang"):
+        table[lang][g["bin"].to_numpy()] = g["n"]
+    if not table:
+        return None
+    own = [[words[w] for lang, w in may if lang == name and s[8 + words[w]] >= share * s[7]] for name, s in table.items()]
+    n = max(map(len, own))
+    numbers = np.array([o + [len(words)] * (n - len(o)) for o in own], np.int64).reshape(len(own), n)  # the last place holds nothing
+    common = np.array([np.append(s[8:], 0)[o] / s[7] for s, o in zip(table.values(), numbers, strict=True)])
+    common = np.concatenate((common, np.maximum(1 - common.sum(axis=1, keepdims=True), 0)), axis=1)
+    classes = np.array([s[:7] / s[:7].sum() for s in table.values()])
+    return References(list(table), classes, words, numbers, common / common.sum(axis=1, keepdims=True))
+
+
+def judge(docs: DataFrame, known: References | None, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, class_distance, word_distance (double), kept.
 
     A null text has no word and fails. A distance is null where the text is too short for it or there is no reference; then it
     doesn't count against the text. Rows keep their other columns, null or repeated ones too; an empty table gives an empty result.
     """
-    rows = [(h[:7] / h[:7].sum(), h[7:] / h[7:].sum()) for h in known.values() if h[:7].sum() and h[7:].sum()]
-    classes, common = (np.array([r[k] for r in rows]) for k in (0, 1)) if rows else (np.zeros((0, 7)), np.zeros((0, BINS - 7)))
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def make():
-        counter = Counter()
+        counter, known = Counter(), sent.value
 
         def run(texts):
-            data, words, base = counter.base(texts)
+            data, _, base = counter.base(texts)
             failed = (base[:, 0] < LEAST_WORDS) | (100 * base[:, 4] > MOST_REPEATED * base[:, 0])
             far_c, far_w = [None] * len(texts), [None] * len(texts)
-            for i, (d, w) in enumerate(zip(data, words, strict=True)):
-                if len(classes) and (len(texts[i]) >= CLASS_LENGTH or len(w) >= WORD_LENGTH):
-                    h = histograms(d, w)
-                    if len(texts[i]) >= CLASS_LENGTH:
-                        far_c[i] = float(js_distance(h[:7] / h[:7].sum(), classes).min())
-                    if len(w) >= WORD_LENGTH:
-                        far_w[i] = float(js_distance(h[7:] / h[7:].sum(), common).min())
+            for i, (d, n) in enumerate(zip(data, base[:, 0].tolist(), strict=True)):
+                if known and len(texts[i]) >= CLASS_LENGTH:
+                    h = class_counts(d)
+                    far_c[i] = float(js_distance(h / h.sum(), known.classes).min())
+                if known and n >= WORD_LENGTH:
+                    far_w[i] = known.word_distance(d, n)
             kept = [not f and (c is None or c <= CLASS_DISTANCE) and (w is None or w <= word_bound(n)) for f, c, w, n in zip(failed, far_c, far_w, base[:, 0].tolist(), strict=True)]
             return (*base.T.tolist(), failed.tolist(), far_c, far_w, kept)
 
@@ -177,4 +241,5 @@ def judge(docs: DataFrame, known: dict[str, np.ndarray], text_col: str = "text")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
+    """doc_id and the counts, distances and verdict of ``judge`` for every document, held against references of all documents."""
     return judge(docs.select("doc_id", "text"), references(docs)).drop("text")
