@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences, online and with bounded space.
 
-Texts are encoded whole. A packer holds a
-fixed number of open bins in a bitset keyed by free space: a piece goes to the open bin with the least room that still
-fits it; when too many bins are open the fullest closes. Packers run over disjoint parts of the pieces. What stands in bins
-that are open at a part's end is packed again over ever fewer parts, down to one, so parts cost no sequences.
+Texts are encoded whole. A packer takes the pieces as they come and holds a fixed number of open bins in a bitset keyed by
+free space: a piece goes to the open bin with the least room that still fits it; when too many bins are open the fullest
+closes. Packers run over disjoint parts of the pieces. What stands in bins that are open at a part's end is packed again over
+ever fewer parts, down to one, so parts cost no sequences.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from turnstone.llm.bpe import byte_letters
 from turnstone.llm.scratch import Scratch
@@ -25,6 +26,7 @@ from turnstone.llm.texts import append
 LENGTH = 2048
 OPEN = 1024  #: open bins of a packer
 PART_TOKENS = LENGTH * 16_384  #: tokens for which one part is used
+PART_ROWS = 500_000  #: pieces for which one part is used, as a part's places are held until its open bins are known
 FAN_IN = 16  #: parts whose open bins are packed again together
 #: The pattern of byte-level BPE, a fixed value of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -34,7 +36,8 @@ class TextEncoder:
     """Ids of whole texts as the bytes of little-endian unsigned 32-bit numbers, equal to those of the tokenizers library for the file.
 
     Where the file's merges are in the order of the ids they make, as byte-level vocabularies usually are, the merge ranks
-    are the ids, and the faster encoder that takes ranks gives the same ids; any other file is left to the library itself.
+    are the ids, and the faster encoder that takes ranks gives the same ids; any other file is left to the library itself. So
+    is a text that the faster one refuses: its pattern backtracks, and runs out of room on a very long run of white space.
     """
 
     def __init__(self, path: str):
@@ -51,15 +54,30 @@ class TextEncoder:
             import tiktoken
 
             ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in special}
-            coder = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            self.encode = lambda texts: [coder.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() for t in texts]
+            self.coder = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         else:
+            self.coder = None
+        self.path, self.other = path, None
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.coder:
+            return self._library(texts)
+        out = []
+        for t in texts:
+            try:
+                out.append(self.coder.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes())
+            except ValueError:
+                out += self._library([t])
+        return out
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        if not self.other:
             from tokenizers import Tokenizer
 
-            other = Tokenizer.from_file(path)
-            other.no_truncation()
-            other.no_padding()
-            self.encode = lambda texts: [array("I", e.ids).tobytes() for e in other.encode_batch_fast(texts, add_special_tokens=False)]
+            self.other = Tokenizer.from_file(self.path)
+            self.other.no_truncation()
+            self.other.no_padding()
+        return [array("I", e.ids).tobytes() for e in self.other.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def cut(n: int, length: int) -> list[tuple[int, int]]:
@@ -130,47 +148,50 @@ class Packer:
         return {name for held in self.by_free for name in held}
 
 
-def pack(pieces: DataFrame, length: int = LENGTH, limit: int = OPEN, part_tokens: int = PART_TOKENS) -> DataFrame:
+def pack(pieces: DataFrame, length: int = LENGTH, limit: int = OPEN, part_tokens: int = PART_TOKENS, part_rows: int = PART_ROWS) -> DataFrame:
     """pieces with sequence_id long and offset long: every row gets a place in a sequence of at most ``length``, gapless from 0.
 
     pieces must have a column length of 1..``length``; its other columns stay, null and repeated ones too. An empty table
-    gives an empty result.
+    gives an empty result. Columns named sequence_id or offset are replaced.
     """
-    scratch = Scratch(pieces.sparkSession, "pack")
-    rest = scratch.write(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    total = rest.agg(F.sum("length")).first()[0] or 0
-    parts, level, done = max(1, math.ceil(total / part_tokens)), 0, []
-    names = [*pieces.columns, "_row"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", sequence_id long, offset long, open boolean"
+    scratch, own = Scratch(pieces.sparkSession, "pack"), pieces.drop("sequence_id", "offset")
+    rest = scratch.write(own.select(F.struct("*").alias("_piece"), F.col("length").cast("int").alias("_n"), F.monotonically_increasing_id().alias("_row")), "pieces")
+    total, rows = rest.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.lit(1))).first()
+    parts, level, done = max(1, math.ceil(total / part_tokens), math.ceil(rows / part_rows)), 0, []
 
     def packed(level: int, last: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = (level << 58) | (TaskContext.get().partitionId() << 34)
-            packer, held, where, start = Packer(length, limit), [], {}, []
-            for b in batches:  # places are a few numbers a row; rows leave once the part's open bins are known
-                spots = [packer.place(n) for n in b["length"].tolist()]
-                held.append(b)
-                where[len(held) - 1] = spots
-            still = set() if last else packer.open_bins()
-            for k, b in enumerate(held):
-                spots = where[k]
-                yield b.assign(sequence_id=[base | n for n, _ in spots], offset=[o for _, o in spots], open=[n in still for n, _ in spots])
+            packer, held = Packer(length, limit), []
+
+            def placed(b: pa.RecordBatch, spots: list[tuple[int, int]], still: set[int]) -> pa.RecordBatch:
+                more = [pa.array([base | n for n, _ in spots], pa.int64()), pa.array([o for _, o in spots], pa.int64()), pa.array([n in still for n, _ in spots], pa.bool_())]
+                return pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "sequence_id", "offset", "open"])
+
+            for b in batches:
+                spots = [packer.place(n) for n in b["_n"].to_pylist()]
+                if last:
+                    yield placed(b, spots, set())
+                else:  # the rows leave once the part's open bins are known
+                    held.append((b, spots))
+            still = packer.open_bins()
+            for b, spots in held:
+                yield placed(b, spots, still)
 
         return run
 
+    schema = StructType([*rest.schema.fields, *StructType.fromDDL("sequence_id long, offset long, open boolean").fields])
     while True:
-        # runs of about 1.5 times the open bins, each longest first: small pieces come when there are gaps for them
-        runs = max(1, math.ceil(rest.count() / parts / (1.5 * limit)))
-        dealt = rest.repartition(parts, "_row").sortWithinPartitions(F.pmod(F.xxhash64("_row"), F.lit(runs)), F.desc("length"), "_row")
-        out = scratch.write(dealt.mapInPandas(packed(level, parts == 1), schema), f"level-{level}")
+        dealt = rest.repartition(parts, "_row").sortWithinPartitions("_row")  # so that a task that runs again sees the same order
+        out = scratch.write(dealt.mapInArrow(packed(level, parts == 1), schema), f"level-{level}")
         done.append(out.where("NOT open"))
         if parts == 1:
             break
-        rest, parts, level = out.where("open").select(names), math.ceil(parts / FAN_IN), level + 1
+        rest, parts, level = out.where("open").select(rest.columns), math.ceil(parts / FAN_IN), level + 1
     result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)
-    return result.drop("_row", "open")
+    return result.select("_piece.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
