@@ -30,25 +30,52 @@ _PLAIN = "(?<![A-Za-z0-9+/])" + _MIXED.format("[A-Za-z0-9+/]") + "[A-Za-z0-9+/]{
 SECRET = f"{_URL_SAFE}|{_PLAIN}"
 ENDPOINT = r"(?:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+"
 SCOPE = 400
+CHUNK = 128  #: matches, or spans, that one fold takes; a fold copies its list at each step, so longer ones are folded in two levels
 
 KINDS = ("assign", "access", "hex", "secret", "endpoint")  #: in the order in which spans with the same start are listed
 SPAN = "array<struct<start:int,rank:int,stop:int>>"
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with value computed once: an expression that stands inside a lambda would be computed anew at each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def chunks(items: Column, size: int = CHUNK) -> Column:
+    """An array cut into arrays of at most ``size``."""
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda k: F.slice(items, k * size + 1, F.lit(size)))
+
+
+def carried(values: Column, add) -> Column:
+    """For each value what ``add`` makes of those before it, from 0; the last result follows as one more."""
+    start = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("all"))
+    step = lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["all"], F.array(add(acc["at"], x))).alias("all"))
+    return F.aggregate(values, start, step, lambda acc: acc["all"])
+
+
 def matches(text: Column, pattern: str, rank: int) -> Column:
     """Spans (start, rank, stop) of all matches, leftmost and not overlapping, in code points."""
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
     sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.char_length(x))
     # a running sum over (gap, size) pairs; zip_with pads the last gap, which no match follows, with a null size
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    pairs = F.zip_with(gaps, sizes, lambda g, s: F.struct(g.alias("gap"), s.alias("size")))
+    after = lambda at, x: at + x["gap"] + F.coalesce(x["size"], F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + x["size"]).alias("stop"))
-        return F.struct((begin + F.coalesce(x["size"], F.lit(0))).alias("at"), F.when(x["size"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
+        return F.struct(after(acc["at"], x).alias("at"), F.when(x["size"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
 
-    pairs = F.zip_with(gaps, sizes, lambda g, s: F.struct(g.alias("gap"), s.alias("size")))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPAN))
+    def fold(items: Column, at: Column) -> Column:
+        return F.aggregate(items, F.struct(at.alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda acc: acc["spans"])
+
+    def many(cut: Column) -> Column:
+        firsts = carried(F.transform(cut, lambda c: F.aggregate(c, F.lit(0), after)), lambda at, x: at + x)
+        return F.flatten(F.zip_with(cut, F.slice(firsts, F.lit(1), F.size(cut)), fold))
+
+    spans = bound(pairs, lambda p: F.when(F.size(p) <= CHUNK, fold(p, F.lit(0))).otherwise(bound(chunks(p), many)))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 
 def assign_spans(text: Column) -> Column:
@@ -112,12 +139,26 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") ->
     """docs with every found span replaced by ``mark``; overlapping spans are replaced together. Rows and other columns stay."""
     rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"))  # so no column of docs can clash
     found = scan(rows)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    furthest = lambda at, s: F.greatest(at, s["stop"])
+
+    def replaced(row: Column) -> Column:
+        text = row["text"]
+
+        def fold(spans: Column, at: Column) -> Column:  # the text from ``at`` to the furthest end of the spans, cut out once
+            start = F.struct(at.alias("at"), F.lit("").alias("out"), F.substring(text, at + 1, F.aggregate(spans, at, furthest) - at).alias("part"))
+
+            def step(acc: Column, s: Column) -> Column:
+                fresh = F.concat(acc["out"], F.substring(acc["part"], acc["at"] - at + 1, s["start"] - acc["at"]), F.lit(mark))
+                return F.struct(furthest(acc["at"], s).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(fresh).alias("out"), acc["part"].alias("part"))
+
+            return F.aggregate(spans, start, step, lambda acc: acc["out"])
+
+        def pieces(cut: Column) -> Column:
+            firsts = carried(F.transform(cut, lambda c: F.array_max(F.transform(c, lambda s: s["stop"]))), lambda at, x: F.greatest(at, x))
+            rest = lambda firsts: F.substring(text, F.element_at(firsts, -1) + 1, F.char_length(text))
+            return bound(firsts, lambda f: F.concat(F.array_join(F.zip_with(cut, F.slice(f, F.lit(1), F.size(cut)), fold), ""), rest(f)))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(fresh).alias("out"))
+        return bound(chunks(row["spans"]), pieces)
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length(F.col("text"))))
-    cleaned = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text"))
+    cleaned = F.when(F.size("spans") > 0, bound(F.struct("text", "spans"), replaced)).otherwise(F.col("text"))
     return found.select(*[cleaned.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
