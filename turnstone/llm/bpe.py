@@ -2,7 +2,8 @@
 
 One pre-token is encoded by a priority queue of merge ranks over a doubly linked list of symbols; entries whose symbols
 have changed since are skipped when they come up. Pre-tokens repeat, so each worker keeps what it has encoded, up to a
-bound. Decoding joins the vocabulary's strings.
+bound. Decoding joins the vocabulary's strings. Where Unicode versions may differ in case, class or composition, a word is
+normalized and cut by the tokenizers library, so its tables decide.
 """
 
 from __future__ import annotations
@@ -10,17 +11,20 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
 from functools import cache
 
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from turnstone.llm.texts import append
 
 #: Unicode's White_Space; str.split also splits at the four separators U+001C to U+001F, which aren't in it.
 SPACE = regex.compile(r"\p{White_Space}+")
 SEPARATORS = regex.compile("[\x1c-\x1f]")
+#: Words of these alone are normalized and cut here: precomposed letters that NFC leaves as they are, and on whose case and class
+#: all Unicode versions agree. Other words go through the library's own normalizer and pre-tokenizer, so its version decides.
+PLAIN = regex.compile("[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]*")
 
 CACHE = 500_000  #: words, and pre-tokens, that a worker remembers; when full it starts anew
 
@@ -50,9 +54,13 @@ class Bpe:
         self.ranks = {self.vocab[a] * self.size + self.vocab[b]: k for k, (a, b) in enumerate(merges)}
         self.made = [self.vocab[a + b] for a, b in merges]
         self.suffix = model.get("end_of_word_suffix") or ""
+        if any(t.get(f) for t in spec["added_tokens"] for f in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens must be found in the raw text as they stand")
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
         self.letters = byte_letters()
+        self.byte_of = {c: b for b, c in enumerate(self.letters)}
+        self.library = Tokenizer.from_file(path)  # its normalizer and pre-tokenizer only; merges and decoding are done here
         self.bytes = [self.vocab.get(c, -1) for c in self.letters]
         self.ends = [self.vocab.get(c + self.suffix, -1) for c in self.letters]
         self.steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -65,17 +73,15 @@ class Bpe:
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.byte_level_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.words: dict[str, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[bytes, list[int]] = {}
         self.written: dict[str, tuple[int, str, str]] = {}
 
-    def normalize(self, text: str) -> str:
-        for step in self.steps:
-            if step == "NFC":
-                text = unicodedata.normalize("NFC", text)
-            elif step == "Lowercase":
-                text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # no final sigma: each character by itself
-            # white-space replacement changes no pre-token, as patterns take no white space
-        return text
+    def cut(self, word: str) -> list[bytes]:
+        """Pre-tokens of a text without white space. White-space replacement changes none, as patterns take no white space."""
+        if PLAIN.fullmatch(word):
+            return [p.encode() for p in self.pattern.findall(word.lower() if "Lowercase" in self.steps else word)]
+        word = self.library.normalizer.normalize_str(word) if self.steps else word
+        return [bytes(map(self.byte_of.__getitem__, p)) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(word)]
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply the merges to one pre-token's symbols, given as ids. A queue entry is rank and place in one number; a symbol that has gone is -1."""
@@ -104,27 +110,22 @@ class Bpe:
                 push(queue, r << 32 | k)
         return [s for s in symbols if s >= 0]
 
-    def pre_token(self, piece: str) -> list[int]:
-        if (ids := self.pieces.get(piece)) is None:
+    def pre_token(self, data: bytes) -> list[int]:
+        if (ids := self.pieces.get(data)) is None:
             if len(self.pieces) >= CACHE:
                 self.pieces.clear()
-            data = piece.encode("utf-8", "replace")
             symbols = [self.bytes[b] for b in data]
             symbols[-1] = self.ends[data[-1]]
             if -1 in symbols:  # the vocabulary lacks a byte: it can't be encoded and is left out
                 symbols = [s for s in symbols if s >= 0]
-            ids = self.pieces[piece] = self.merge(symbols)
+            ids = self.pieces[data] = self.merge(symbols)
         return ids
 
     def fresh(self, word: str) -> list[int]:
         """Ids of a text without white space and without added tokens."""
-        if word.isascii():  # NFC changes nothing, and a word of letters is one pre-token
-            word = word.lower() if "Lowercase" in self.steps else word
-            if word.isalpha():
-                return self.pre_token(word)
-        else:
-            word = self.normalize(word)
-        return [i for piece in self.pattern.findall(word) for i in self.pre_token(piece)]
+        if word.isascii() and word.isalpha():  # one pre-token
+            return self.pre_token((word.lower() if "Lowercase" in self.steps else word).encode())
+        return [i for piece in self.cut(word) for i in self.pre_token(piece)]
 
     def word(self, word: str) -> list[int]:
         if (ids := self.words.get(word)) is None:
@@ -151,7 +152,7 @@ class Bpe:
         names = [self.names[i] for i in ids if i in self.names]
         if not self.byte_level_decoder:
             return " ".join(names)
-        byte = {c: b for b, c in enumerate(self.letters)}
+        byte = self.byte_of
         return bytes(b for s in names for b in (map(byte.__getitem__, s) if all(c in byte for c in s) else s.encode())).decode("utf-8", "replace")
 
 
