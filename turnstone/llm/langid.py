@@ -23,6 +23,7 @@ from turnstone.llm.texts import append
 
 BUCKETS = 1 << 16
 TRAIN_DOCS = 20_000  #: expected number of labelled documents in the sample that the model is fitted on
+LANGUAGES = 512  #: the most frequent labels of that sample are learned, ties by name; bounds the model, which has BUCKETS numbers for each
 PENALTY = 6.0  #: nats that a change of language costs
 CACHE = 200_000
 BATCH_WORDS = 1_000_000  #: words of short texts that go through Viterbi together
@@ -102,18 +103,22 @@ class Model:
         return np.where(self.allowed[script], total, total + EXCLUDED).astype(np.float32)
 
 
-def fit(docs: DataFrame, learn, max_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
+def fit(docs: DataFrame, learn, max_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_languages: int = LANGUAGES) -> Model | None:
     """Counts over a bounded sample of the rows for which ``learn`` (a Column) holds and the label isn't null.
 
-    Only text and label enter the model; the sample is drawn by a hash of the id, of about ``max_docs`` rows. No such row: None.
+    Only text and label enter the model; the sample is drawn by a hash of the id, of about ``max_docs`` rows, and the
+    ``max_languages`` labels that most of its rows have are learned. No such row, or no letter in them: None.
     """
     prepare(docs.sparkSession)
     known = docs.where(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    n = known.select(label_col).count()
+    known = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    n = known.select("label").count()
     if not n:
         return None
     if n > max_docs:
-        known = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1_000_003)) < int(1_000_003 * max_docs / n))
+        known = known.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_003)) < int(1_000_003 * max_docs / n))
+    top = [r["label"] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_languages).collect()]
+    known = known.where(F.col("label").isin(top))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams: dict[str, np.ndarray] = {}
@@ -131,13 +136,17 @@ def fit(docs: DataFrame, learn, max_docs: int = TRAIN_DOCS, id_col: str = "doc_i
             some = np.flatnonzero(both)
             yield pd.DataFrame({"label": lang, "bucket": some, "n": both[some]})
 
-    counted = known.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).mapInPandas(count, "label string, bucket long, n long")
-    got = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()  # bounded by labels x (BUCKETS + scripts)
-    if got.empty:
+    def packed(g: pd.DataFrame) -> pd.DataFrame:  # a row a label, of at most BUCKETS + scripts numbers
+        return pd.DataFrame({"label": [g["label"].iloc[0]], "buckets": [g["bucket"].to_numpy(np.int32).tobytes()], "ns": [g["n"].to_numpy(np.int64).tobytes()]})
+
+    counted = known.select("label", "text").mapInPandas(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    got = counted.groupBy("label").applyInPandas(packed, "label string, buckets binary, ns binary").collect()  # at most max_languages rows
+    if not got:
         return None
-    languages = sorted(got["label"].unique())
-    table = np.zeros((BUCKETS + len(NAMES), len(languages)))
-    table[got["bucket"].to_numpy(), np.searchsorted(languages, got["label"])] = got["n"]
+    languages = sorted(r["label"] for r in got)
+    table = np.zeros((BUCKETS + len(NAMES), len(languages)), np.float32)
+    for r in got:
+        table[np.frombuffer(r["buckets"], np.int32), languages.index(r["label"])] = np.frombuffer(r["ns"], np.int64)
     grams, scripts = table[:BUCKETS], table[BUCKETS:]
     weights = np.log((grams + 0.1) / (grams.sum(axis=0) + 0.1 * BUCKETS))
     allowed = scripts > 0.01 * scripts.sum(axis=0)
@@ -155,7 +164,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty
     s, n = starts[order], lengths[order]
     live = np.searchsorted(-n, -np.arange(1, n[0] + 1), side="right")  # texts with more than t words
     best = np.zeros((len(n), k), np.float32)
-    back = np.full(scores.shape, -1, np.int8)  # -1: no change of language
+    back = np.full(scores.shape, -1, np.int32)  # -1: no change of language
     for t in range(n[0]):
         m = live[t]
         at = s[:m] + t
@@ -167,7 +176,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty
             back[at] = np.where(switch, top[:, None], -1)
             best[:m] = np.where(switch, other, b)
         best[:m] += scores[at]
-    path = np.zeros(len(scores), np.int8)
+    path = np.zeros(len(scores), np.int32)
     state = np.zeros(len(n), np.int64)
     for t in range(n[0] - 1, -1, -1):
         m = live[t]
@@ -214,7 +223,7 @@ class Labeller:
         lengths = np.array(lengths, np.int64)
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths
         scores, some = np.concatenate(scores), lengths > 0
-        path = viterbi(scores, starts[some], lengths[some], self.penalty) if some.any() else np.zeros(0, np.int8)
+        path = viterbi(scores, starts[some], lengths[some], self.penalty) if some.any() else np.zeros(0, np.int32)
         return path, np.concatenate(sizes), starts, lengths
 
     def groups(self, texts: list[str]) -> Iterator[tuple[int, int]]:
