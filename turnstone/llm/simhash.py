@@ -167,12 +167,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, budget: int = 2) -> DataFrame:
-    """The rows of docs, all columns, of which one of each SimHash class stays: the row with the smallest id; of rows that repeat that id, one.
+    """The rows of docs, all columns, of which exactly one of each SimHash class stays.
 
-    Rows with a null id have no name to be chosen by and all stay.
+    That is the row with the smallest id, null ids last; of different texts with that id in the class the one with the smallest
+    hash, and of rows equal in both the one whose other columns, as JSON, come first. Different texts that share an id are
+    judged apart: none goes for another's sake outside its class. An empty table gives an empty result.
     """
-    found = near_duplicates(docs, id_col, text_col, size, budget).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(found, id_col, "left_semi").select(docs.columns)
-    if not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
-        named = named.dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    name = {"_no_id": F.col(id_col).isNull(), "_id": F.col(id_col), "_t1": F.xxhash64(text_col), "_t2": F.xxhash64(F.lit(7), text_col)}
+    keys = docs.select(F.struct(*[c.alias(n) for n, c in name.items()]).alias("name"), F.col(text_col).alias("text"))
+    # a text's class doesn't depend on its id, so classes are those of the texts, named by hash
+    classes = near_duplicates(keys.select(F.struct("name._t1", "name._t2").alias("k"), "text"), "k", "text", size, budget)
+    root = classes.groupBy("k").agg(F.min("component_id").alias("root"))
+    named = keys.groupBy("name").agg(F.count(F.lit(1)).alias("copies")).select("name", "copies", F.struct("name._t1", "name._t2").alias("k"))
+    kept = named.join(root, "k").groupBy("root").agg(F.min(F.struct("name", "copies")).alias("one")).select("one.name.*", F.col("one.copies").alias("_copies"))
+    kept = scratch.write(kept, "kept")
+    rows = docs.select(F.struct("*").alias("_row"), *[c.alias(n) for n, c in name.items()])
+    match = [F.col(f"r.{n}").eqNullSafe(F.col(f"k.{n}")) for n in name]
+    once = rows.alias("r").join(kept.where("_copies = 1").alias("k"), match, "left_semi").select("_row.*")
+    if kept.where("_copies > 1").isEmpty():
+        return once
+    repeated = rows.alias("r").join(kept.where("_copies > 1").alias("k"), match, "left_semi")
+    first = repeated.groupBy(*name).agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return once.unionByName(first.select("_row.*"))
