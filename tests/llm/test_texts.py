@@ -396,6 +396,34 @@ def test_string_kernel_tolerates_gaps():
     assert toxicity.words_of("You id10t, w-o-r-s-t i d i o t!") == ["you", "idiot", "worst", "idiot"]
 
 
+def test_toxic_pairs_gaps_and_insertions(spark):
+    """Insults of one word, one of two harmless words, and writings of them that no training text has; harmless texts with the same words apart."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abdefgiklmnoprstuvw"), n)) for n in rng.integers(3, 9, 400)] + ["pound", "sand"]
+    draw = lambda n: " ".join(rng.choice(words, n))
+    rows = []
+    for i in range(1200):
+        insult = ("clodhopper", "pound sand", None, None, None, None)[i % 6]
+        rows.append((i, f"{draw(12)}. {draw(5)} {insult or draw(1)} {draw(6)}. {draw(9)}", int(insult is not None)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(d.select("doc_id", "text"), d.select("doc_id", "toxic"), lambda i: i < 100000)
+    scorer = toxicity.Scorer(model)
+    bad = ["clodhopper", "pound sand", "clod hopper", "clodxhopper", "cl0dhopper", "clo-dhopper", "c l o d h o p p e r"]
+    good = ["pound", "sand", "sand pound", "pound the sand", "clod", ""]
+    score = lambda texts: model.score(scorer([f"{draw(8)} {t} {draw(8)}" for t in texts]))
+    assert (score(bad) >= 0.5).all() and (score(good) < 0.5).all()
+
+
+def test_toxicity_of_very_long_words():
+    parts = toxicity.words_of("x" * 2_000_000 + " y")
+    assert max(map(len, parts)) <= toxicity.WORD and parts[-1] == "y" and len(parts) < 70_000
+    word = "".join(map(chr, range(97, 123))) * 10
+    pieces = toxicity.words_of(word)
+    assert pieces[0] == word[:64] and word.endswith(pieces[-1]) and all(b.startswith(a[32:]) or a[32:].startswith(b) for a, b in zip(pieces, pieces[1:], strict=False))
+    model = toxicity.Model(np.zeros(toxicity.CODES, np.float32), -1.0)
+    assert toxicity.Scorer(model)(["x" * 2_000_000, ""]).tolist() == [-1.0, toxicity.FLOOR]
+
+
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (None, 1, 1), (3, None, None), (77, 0, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.predictions(odd_docs, labels).count() == odd_docs.count()

@@ -1,15 +1,19 @@
-"""Toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine.
-
-The kernel of two words counts the runs of three or four letters that both contain in order, gaps allowed; one that spans
-more letters weighs less. It so tolerates inserted and missing letters. A text scores as its worst word does (a sentence as the
-worst of its words, a text as the worst of its sentences).
-
-Training sentences are those of labelled texts. A toxic text's label says only that one of its words, the witness, is
-toxic, so words that occur in toxic texts far more often than chance allows are the positive examples, also with a letter
-inserted; words of texts that aren't toxic are the negative ones, first a sample, then those the first machine rates worst.
+"""Toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine, trained on labelled sentences.
+
+The kernel of two strings counts the runs of three or four letters that both contain in order, gaps allowed; one that spans
+more letters weighs less. It so tolerates inserted and missing letters. A sentence is compared by its parts, its words and
+pairs of neighbouring words, in which the space is a letter that every run skips: an insult is one or two words among many
+harmless ones, which would drown it if the sentence were one string. A sentence scores as the worst of its parts does, a text
+as the worst of its sentences.
+
+Training is that of a multiple-instance machine: the sentences' labels, which are those of their texts, say only that some
+part, the witness, is toxic. The first witnesses are parts that stand in toxic sentences far more often than chance allows,
+words or, where no word of theirs does by itself, pairs; also with a letter put in. Then the machine is fitted again on each
+labelled text's own witness, its worst part, of harmless texts as well as of toxic ones.
 The machine is fitted on Nystroem features, the kernel values at the landmarks times the inverse root of the landmarks'
 kernel matrix. As the kernel is a product of sparse features, the fitted machine folds into one weight per run, and a new
 word costs a few look-ups. Texts' best values are turned into scores by a logistic curve fitted on the labelled texts.
+Runs of four letters share numbers by a hash, as do letters beyond a-z, so the kernel is that of their numbers.
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import product
+from dataclasses import dataclass
+from itertools import pairwise, product
 
 import numpy as np
 import pandas as pd
@@ -30,9 +34,13 @@ from turnstone.llm.scratch import Scratch
 from turnstone.llm.texts import append
 
 TRAIN_DOCS = 20_000  #: expected number of labelled rows in the sample that the model is fitted on
-SEEDS, LANDMARKS, NEGATIVES = 384, 256, 6_000  #: bounds of the training set of words
+LANDMARKS, NEGATIVES = 256, 6_000  #: rank of the machine; size of the sample of harmless words it is first fitted on
+WORD = 64  #: a longer run of letters is taken in pieces of so many, each of which overlaps half of the next
+AT_ONCE = 100_000  #: letters whose runs are held as arrays
+ROUNDS = 1  #: times that the machine is fitted again on the texts' witnesses; more change little
 SPAN, DECAY = 6, 0.6  #: letters that a run may span; weight of each letter that it skips
 CACHE = 400_000
+LIKE = 0.6  #: kernel value from which a word counts as the half of a toxic pair
 FLOOR = -3.0  #: value of a text without a word
 SENTENCE = r"[.!?\n]+"
 LETTERS = 64
@@ -52,11 +60,13 @@ def words_of(text: str) -> list[str]:
     if sum(len(w) == 1 for w in words) >= 3:
         line = " ".join(words)
         words = _SPACED.sub(lambda m: m[0].replace(" ", ""), line).split(" ") if line else []
+    if any(len(w) > WORD for w in words):
+        words = [w[k : k + WORD] for w in words for k in range(0, max(1, len(w) - WORD // 2), WORD // 2)]
     return words
 
 
 def runs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, weights and owners of all words' subsequences of three and four letters, and each word's norm, in which a repeated run counts anew each time. Words' ends count as letters.
+    """Codes, weights and owners of all words' subsequences of three and four letters, and each word's norm, in which a repeated run counts anew each time. Words' ends count as letters, a space in a pair is skipped.
 
     Codes of three letters are their own; those of four are hashed into the rest of ``CODES``.
     """
@@ -64,7 +74,7 @@ def runs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     codes = np.frombuffer(line.encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
     owner = np.cumsum(codes == 1) - 1
     letter = np.where(codes < 3, codes, np.where((codes >= 97) & (codes <= 122), codes - 94, 30 + codes * 40503 % (LETTERS - 30)))
-    letter[codes == 0] = -1
+    letter[(codes == 0) | (codes == 32)] = -1
     n, found, weights, owners = len(letter), [], [], []
     for gaps in _GAPS:
         end = sum(gaps)
@@ -147,32 +157,68 @@ class Model:
     bias: float
     slope: float = 2.0
     shift: float = 0.0
-
-    def values(self, words: list[str]) -> np.ndarray:
-        code, weight, owner, norm = runs(words)
-        return (np.bincount(owner, self.weights[code] * weight, minlength=len(words)) / norm + self.bias).astype(np.float32)
+    #: Left and right halves of toxic parts: of words cut in two, and of pairs; pairs of such words are looked at. A word that
+    #: is like a pair's half, by the kernel, counts as one.
+    halves: tuple[frozenset[str], frozenset[str]] = (frozenset(), frozenset())
+    pair_halves: tuple[tuple[str, ...], tuple[str, ...]] = ((), ())
+
+    def values(self, parts: list[str]) -> np.ndarray:
+        out, start = [np.zeros(0, np.float32)], 0
+        sizes = np.cumsum([len(w) + 8 for w in parts])
+        while start < len(parts):
+            stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + AT_ONCE, side="right")))
+            code, weight, owner, norm = runs(parts[start:stop])
+            out.append((np.bincount(owner, self.weights[code] * weight, minlength=stop - start) / norm + self.bias).astype(np.float32))
+            start = stop
+        return np.concatenate(out)
 
     def score(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -30, 30)))
 
 
-@dataclass
 class Scorer:
-    """Texts' values, with a bounded memory of words."""
+    """Texts' values, those of their worst parts, with a bounded memory of parts."""
 
-    model: Model
-    known: dict[str, float] = field(default_factory=dict)
+    def __init__(self, model: Model):
+        self.model = model
+        self.like = [Landmarks(list(h)) for h in model.pair_halves] if model.pair_halves[0] else []
+        self._forget()
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        words = [words_of(t) for t in texts]
-        new = list(set().union(*words) - self.known.keys())
+    def _forget(self) -> None:
+        self.known: dict[str, float] = {}
+        self.halves = [set(h) for h in self.model.halves]
+
+    def learn(self, parts: set[str]) -> None:
+        new = list(parts - self.known.keys())
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(set().union(*words))
-        for s in range(0, len(new), 20_000):
-            self.known.update(zip(new[s : s + 20_000], self.model.values(new[s : s + 20_000]).tolist(), strict=True))
-        get = self.known.__getitem__
-        return np.array([max(map(get, ws), default=FLOOR) for ws in words])
+            self._forget()
+            new = list(parts)
+        if new:
+            self.known.update(zip(new, self.model.values(new).tolist(), strict=True))
+            for held, marks in zip(self.halves, self.like, strict=False):
+                held.update(new[k] for k in np.flatnonzero(marks.kernel(new).max(axis=1) >= LIKE))
+
+    def best(self, texts: list[str]) -> tuple[list[float], list[str]]:
+        """Each text's value and the part that has it; of equal ones the first."""
+        words = [words_of(t) for t in texts]
+        sets = list(map(set, words))
+        self.learn(set().union(*sets))
+        left, right = self.halves
+        pairs = [[] if left.isdisjoint(own) or right.isdisjoint(own) else [f"{a} {b}" for a, b in pairwise(ws) if a in left and b in right] for ws, own in zip(words, sets, strict=True)]
+        more = {p for ps in pairs for p in ps}
+        found = dict(zip(more, self.model.values(list(more)).tolist(), strict=True))
+        get, none = self.known.__getitem__, ("", FLOOR)
+        values, parts = [], []
+        for ws, ps in zip(words, pairs, strict=True):
+            w = max(ws, key=get, default=None)
+            options = [none if w is None else (w, get(w)), *((p, found[p]) for p in ps)]
+            part, value = max(options, key=lambda x: x[1])
+            values.append(value)
+            parts.append(part)
+        return values, parts
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        return np.array(self.best(texts)[0])
 
 
 def train(words: list[str], toxic: list[bool], landmarks: list[str]) -> Model:
@@ -207,11 +253,76 @@ def inserted(word: str) -> list[str]:
     return [word[:k] + "xzqkvj"[k % 6] + word[k:] for k in range(2, len(word) - 1)] if len(word) >= 5 else []
 
 
+def halves_of(parts: list[str]) -> tuple[tuple[frozenset[str], frozenset[str]], tuple[tuple[str, ...], tuple[str, ...]]]:
+    """Model.halves and Model.pair_halves of toxic parts."""
+    cuts = [(w[:k], w[k:]) for w in parts if " " not in w for k in range(2, len(w) - 1)]
+    pairs = [tuple(p.split(" ")) for p in parts if " " in p]
+    both = [frozenset(c[k] for c in cuts + pairs) for k in (0, 1)]
+    return (both[0], both[1]), (tuple(sorted({p[0] for p in pairs})), tuple(sorted({p[1] for p in pairs})))
+
+
+def standing_out(counts: DataFrame, chance: float, total: int) -> DataFrame:
+    """Of (part, clean, toxic) the parts that stand in toxic sentences more often than chance allows: by Chernoff's bound, over all parts."""
+    p = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    gain = F.col("toxic") * F.log(p / chance) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - p) / (1 - chance))).otherwise(0)
+    return counts.where((p > chance) & (gain > math.log(20 * max(total, 1))) & (F.col("toxic") > 4 * F.col("clean")))
+
+
+def witnesses(sentences: DataFrame, scratch: Scratch) -> tuple[list[str], DataFrame] | None:
+    """Toxic parts of sentences (text, toxic), and the table of all words (part, clean, toxic). None if either class is missing."""
+    sizes = {r["toxic"]: r["count"] for r in sentences.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return None
+    chance = sizes[True] / (sizes[True] + sizes[False])
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            by = (Counter(), Counter())
+            for text, toxic in zip(b["text"], b["toxic"], strict=True):
+                by[bool(toxic)].update(set(words_of(text)))
+            parts = list(by[0].keys() | by[1].keys())
+            yield pd.DataFrame({"part": parts, "clean": [by[0][w] for w in parts], "toxic": [by[1][w] for w in parts]})
+
+    def toxic_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = Counter(p for text in b["text"] for p in set(pairwise(words_of(text))))
+            yield pd.DataFrame({"part": [" ".join(p) for p in n], "n": list(n.values())})
+
+    def around(wanted: set[str]):
+        """Copies with changes repeat a part between the same neighbours: of its places one per pair of neighbours counts."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                found = set()
+                for text, toxic in zip(b["text"], b["toxic"], strict=True):
+                    ws = ["", *words_of(text), ""]
+                    found |= {(w, f"{x} {y}", bool(toxic)) for x, w, y in zip(ws, ws[1:], ws[2:], strict=False) if w in wanted}
+                    found |= {(f"{w} {v}", f"{x} {y}", bool(toxic)) for x, w, v, y in zip(ws, ws[1:], ws[2:], ws[3:], strict=False) if f"{w} {v}" in wanted}
+                yield pd.DataFrame(sorted(found), columns=["part", "around", "toxic"])
+
+        places = sentences.mapInPandas(run, "part string, around string, toxic boolean").groupBy("part", "around").agg(F.min("toxic").alias("toxic"))
+        return places.groupBy("part").agg(F.sum((~F.col("toxic")).cast("long")).alias("clean"), F.sum(F.col("toxic").cast("long")).alias("toxic"))
+
+    counted = sentences.mapInPandas(words, "part string, clean long, toxic long").groupBy("part").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = scratch.write(counted, "words")
+    total = counted.count()
+    # what stands out is few: each such part needs several toxic sentences of its own in the bounded sample
+    likely = {r["part"] for r in standing_out(counted, chance, total).select("part").collect()}
+    pairs = sentences.where("toxic").select("text").mapInPandas(toxic_pairs, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    pairs = scratch.write(pairs, "pairs")
+    n_pairs = pairs.count()
+    least = math.ceil(math.log(20 * max(total + n_pairs, 1)) / math.log(1 / chance))  # fewer can't stand out, even if all are toxic
+    may = {r["part"] for r in pairs.where(F.col("n") >= least).select("part").collect() if not likely & set(r["part"].split(" "))}
+    apart = scratch.write(around(likely | may), "apart")
+    toxic = [r["part"] for r in standing_out(apart, chance, total + n_pairs).orderBy(F.desc("toxic"), "part").collect()]
+    return toxic, counted
+
+
 def fit(docs: DataFrame, labels: DataFrame, seen, max_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Fit on a bounded sample of labelled rows for which ``seen``, a function of the id Column, holds.
 
     A text with several labels counts as toxic if one says so. Null ids, labels and texts are left out. None if either class
-    is missing or no word stands out.
+    is missing or no part stands out, so too for empty tables.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & seen(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).alias("toxic"))
@@ -223,57 +334,29 @@ def fit(docs: DataFrame, labels: DataFrame, seen, max_docs: int = TRAIN_DOCS, id
     rows = scratch.write(rows, "sample")
     # copies and near copies repeat their sentences: each counts once, and as harmless if it also stands in a harmless text
     sentences = rows.select("toxic", F.explode(F.split("text", SENTENCE)).alias("text")).where("text <> ''").groupBy("text").agg(F.min("toxic").alias("toxic"))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            by = (Counter(), Counter())
-            for text, toxic in zip(b["text"], b["toxic"], strict=True):
-                by[bool(toxic)].update({w for w in words_of(text) if len(w) < 64})
-            words = list(by[0].keys() | by[1].keys())
-            yield pd.DataFrame({"word": words, "clean": [by[0][w] for w in words], "toxic": [by[1][w] for w in words]})
-
-    sentences = scratch.write(sentences, "sentences")
-    sizes = {r["toxic"]: r["count"] for r in sentences.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
+    found = witnesses(scratch.write(sentences, "sentences"), scratch)
+    if not found or not found[0]:
         return None
-    counted = sentences.mapInPandas(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counted = scratch.write(counted, "words")
-    total, chance = counted.count(), sizes[True] / (sizes[True] + sizes[False])
-    # Chernoff's bound of the chance that so many of the word's sentences are from toxic texts, over all words
-    p = F.col("toxic") / (F.col("toxic") + F.col("clean"))
-    gain = (F.col("toxic") * F.log(p / chance) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - p) / (1 - chance))).otherwise(0))
-    stands_out = (gain > math.log(20 * max(total, 1))) & (F.col("toxic") > 4 * F.col("clean"))
-    likely = [r["word"] for r in counted.where(p > chance).where(stands_out).orderBy(F.desc(gain), "word").limit(8 * SEEDS).collect()]
-    # copies with changes repeat a word between the same neighbours: of the likely words' occurrences one per pair of neighbours counts
-    wanted = set(likely)
-
-    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = set()
-            for text, toxic in zip(b["text"], b["toxic"], strict=True):
-                words = ["", *words_of(text), ""]
-                found |= {(w, f"{a} {c}", bool(toxic)) for a, w, c in zip(words, words[1:], words[2:], strict=False) if w in wanted}
-            yield pd.DataFrame(sorted(found), columns=["word", "around", "toxic"])
-
-    apart = sentences.mapInPandas(neighbours, "word string, around string, toxic boolean").groupBy("word", "around").agg(F.min("toxic").alias("toxic"))
-    apart = apart.groupBy("word").agg(F.sum((~F.col("toxic")).cast("long")).alias("clean"), F.sum(F.col("toxic").cast("long")).alias("toxic"))
-    positive = [r["word"] for r in apart.where(p > chance).where(stands_out).orderBy(F.desc(gain), "word").limit(SEEDS).collect()]
-    if not positive:
-        return None
-    harmless = counted.where("clean > 0 AND clean >= toxic")
-    negative = [r["word"] for r in harmless.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES).collect()]
-    extra = [v for w in positive[:128] for v in inserted(w)]
-    good = list(dict.fromkeys(positive[: LANDMARKS // 4] + spread(positive, LANDMARKS // 4)))
-
-    def trained(marks: list[str]) -> Model:
-        return train(positive + extra + negative, [True] * (len(positive) + len(extra)) + [False] * len(negative), good + marks)
-
-    model = trained(negative[: LANDMARKS // 2])
-    for _ in range(3):  # the words of harmless texts that the machine rates worst
-        rated = append(harmless.select("word"), "word", "value double", lambda m=model: lambda words: (m.values(words).tolist(),), 4096)
-        worst = [r["word"] for r in rated.orderBy(F.desc("value"), "word").limit(NEGATIVES // 4).collect()]
-        negative = list(dict.fromkeys(worst + negative))
-        model = trained(spread(worst, LANDMARKS // 2))
+    positive, harmless = found[0], found[1].where("clean > 0 AND clean >= toxic")
+    negative = [r["part"] for r in harmless.orderBy(F.xxhash64("part"), "part").limit(NEGATIVES).collect()]
+    hard = negative
+
+    def trained() -> Model:
+        more = [v for w in positive for v in inserted(w)]
+        good = list(dict.fromkeys(positive[: LANDMARKS // 4] + spread(positive, LANDMARKS // 4)))
+        model = train(positive + more + negative, [True] * (len(positive) + len(more)) + [False] * len(negative), good + spread(hard[:1500], LANDMARKS // 2))
+        model.halves, model.pair_halves = halves_of(positive)
+        return model
+
+    model = trained()
+    for _ in range(ROUNDS):
+        rated = append(rows, "text", "value double, part string", lambda m=model: Scorer(m).best)
+        rated = rated.groupBy("part").agg(F.sum((~F.col("toxic")).cast("long")).alias("clean"), F.sum(F.col("toxic").cast("long")).alias("toxic"), F.max("value").alias("value"))
+        own = rated.where("part <> ''").orderBy(F.desc("value"), "part").collect()  # at most a row a text of the sample
+        hard = [r["part"] for r in own if r["clean"] and r["clean"] >= r["toxic"]]
+        negative = list(dict.fromkeys(hard + negative))
+        positive += [r["part"] for r in own if r["toxic"] >= 3 and r["toxic"] > 4 * r["clean"] and r["value"] > 0 and r["part"] not in set(positive)]
+        model = trained()
 
     held = append(rows, "text", "value double", lambda m=model: lambda texts, s=Scorer(m): (s(texts).tolist(),)).select("toxic", "value").toPandas()
     value, y = held["value"].to_numpy(), held["toxic"].to_numpy(dtype=float)
@@ -294,7 +377,8 @@ def held_out(id_col: str = "doc_id"):
 def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with score double (0 to 1) and predicted int. A null or empty text scores as one without a word; without a model all score 0.
 
-    Rows keep their other columns, null or repeated ones too; columns named score or predicted are replaced.
+    Rows keep their other columns, null or repeated ones too; columns named score or predicted are replaced. An empty table
+    gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -313,6 +397,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document, learned from labels of documents that aren't held out."""
+    """doc_id, held_out, score, predicted for every document, learned from labels of documents that aren't held out; a null id is neither
+    learned from nor held out. Documents without a text, or with repeated ids, have rows as any other; empty tables give an empty result."""
     model = fit(docs, labels, lambda i: F.pmod(F.crc32(i.cast("string")), F.lit(5)) != 0)
     return score(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
