@@ -174,19 +174,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     judged apart: none goes for another's sake outside its class. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
-    name = {"_no_id": F.col(id_col).isNull(), "_id": F.col(id_col), "_t1": F.xxhash64(text_col), "_t2": F.xxhash64(F.lit(7), text_col)}
-    keys = docs.select(F.struct(*[c.alias(n) for n, c in name.items()]).alias("name"), F.col(text_col).alias("text"))
-    # a text's class doesn't depend on its id, so classes are those of the texts, named by hash
-    classes = near_duplicates(keys.select(F.struct("name._t1", "name._t2").alias("k"), "text"), "k", "text", size, budget)
-    root = classes.groupBy("k").agg(F.min("component_id").alias("root"))
-    named = keys.groupBy("name").agg(F.count(F.lit(1)).alias("copies")).select("name", "copies", F.struct("name._t1", "name._t2").alias("k"))
-    kept = named.join(root, "k").groupBy("root").agg(F.min(F.struct("name", "copies")).alias("one")).select("one.name.*", F.col("one.copies").alias("_copies"))
-    kept = scratch.write(kept, "kept")
-    rows = docs.select(F.struct("*").alias("_row"), *[c.alias(n) for n, c in name.items()])
-    match = [F.col(f"r.{n}").eqNullSafe(F.col(f"k.{n}")) for n in name]
-    once = rows.alias("r").join(kept.where("_copies = 1").alias("k"), match, "left_semi").select("_row.*")
+    name = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(7), text_col).alias("t2"))
+    found = near_duplicates(docs.select(name.alias("name"), F.col(text_col).alias("text")), "name", "text", size, budget)
+    key = lambda n: [n["no_id"].alias("_no_id"), F.coalesce(n["id"].cast("string"), F.lit("")).alias("_id"), n["t1"].alias("_t1"), n["t2"].alias("_t2")]
+    kept = found.where(F.col("name").eqNullSafe(F.col("component_id"))).groupBy("name").agg(F.count(F.lit(1)).alias("_copies"))
+    kept = scratch.write(kept.select(*key(F.col("name")), "_copies"), "kept")
+    keys = ["_no_id", "_id", "_t1", "_t2"]
+    rows = docs.select(F.struct("*").alias("_row"), name.alias("_name")).select("_row", *key(F.col("_name")))
+    once = rows.join(kept.where("_copies = 1"), keys, "left_semi").select("_row.*")
     if kept.where("_copies > 1").isEmpty():
         return once
-    repeated = rows.alias("r").join(kept.where("_copies > 1").alias("k"), match, "left_semi")
-    first = repeated.groupBy(*name).agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    first = rows.join(kept.where("_copies > 1"), keys, "left_semi").groupBy(*keys).agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
     return once.unionByName(first.select("_row.*"))

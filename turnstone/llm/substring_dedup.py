@@ -34,8 +34,9 @@ from turnstone.llm.scratch import Scratch
 
 LENGTH = 35
 GRAM = 8
-MEMBERS = 4_096  #: different parts of segments in one shard; a larger shard is dealt into shards of smaller parts
-CACHE = 200_000  #: words whose hashes a worker remembers
+ROWS = 1_000  #: rows that leave a task together
+MEMBERS = 1_024  #: different parts of segments in one shard; a larger shard is dealt into shards of smaller parts
+CACHE = 100_000  #: words whose hashes a worker remembers
 PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
@@ -274,7 +275,10 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, members: int = MEMBER
                             seen.add(name)
                             words = words or words_of(text)
                             out += part_rows(k1, k2, w["first"], w["c"], words[w["first"] : w["first"] + w["n"] + length - 1], w["lead"], halves(0, length - GRAM), length)
-                if len(seen) > 100_000:
+                            if len(out) >= ROWS:
+                                yield batch(out, _TYPES, _NAMES)
+                                out = []
+                if len(seen) > 50_000:
                     seen.clear()
                 yield batch(out, _TYPES, _NAMES)
 
@@ -283,6 +287,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, members: int = MEMBER
             out = []
             for k1, k2, a, lo, hi, lead, c, line in zip(*(b[x].to_pylist() for x in ("k1", "k2", "a", "lo", "hi", "lead", "c", "words")), strict=True):
                 out += part_rows(k1, k2, a, c, line.split(b" "), lead, halves(lo, hi), length)
+                if len(out) >= ROWS:
+                    yield batch(out, _TYPES, _NAMES)
+                    out = []
             yield batch(out, _TYPES, _NAMES)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
