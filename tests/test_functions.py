@@ -1,6 +1,6 @@
 import json
 
-from turnstone.functions import answers, mentions
+from turnstone.functions import answers, levels, mentions
 from turnstone.operators import bootstrap
 
 
@@ -8,22 +8,56 @@ def test_clock_readings():
     found = mentions.mentions("Leave at 18:30, or 18;45, or 13.00", [], [])["time"]
     assert found == [["18:30"], ["18:45"], ["13:00"]]
     assert mentions.mentions("at 6:30pm or 7 p.m. or 9 am or 12 am", [], [])["time"] == [["18:30"], ["19:00"], ["09:00"], ["00:00"]]
-    assert mentions.readings("5", "15", None) == ["05:15", "17:15"]
-    assert mentions.readings("5", None, None) == []
-    assert mentions.readings("25", "00", None) == []
+    assert mentions.readings("5", "15", None) == ["05:15", "17:15"] and mentions.readings("05", "15", None) == ["05:15"] and mentions.readings("24", "00", None) == ["00:00"]
+    assert mentions.readings("5", None, None) == mentions.readings("25", "00", None) == mentions.readings("13", "00", "p") == mentions.readings("5", "60", None) == []
+    assert mentions.mentions("it costs £3.50 for 4 people")["time"] == []
 
 
-def test_longest_phrase_first():
-    found = mentions.mentions("The old mill inns and a mill", ["mill", "old mill inn"], ["thai"])
-    assert found["place"] == [["old mill inn"], ["mill"]]
+def test_leftmost_longest_name():
+    found = mentions.mentions("The old mill inns and a mill, then mill road", ["mill", "old mill inn", "mill road north"], ["thai"])
+    assert found["place"] == [["old mill inn"], ["mill"], ["mill"]]
+    assert mentions.mentions("go to the missing sock b & b or saint john's chop house", ["the missing sock b & b", "saint john's chop house"])["place"] == [["missing sock b & b"], ["saint john's chop house"]]
+    found = mentions.mentions("north american or english food in the northern part, cheaply or pricey", [], ["north american"])
+    assert (found["food"], found["area"], found["price"]) == ([["north american"], ["british"]], [["north"]], [["expensive"]])
 
 
-def test_drift():
-    a, b = {"day": [["monday"]]}, {"day": [["tuesday"]]}
-    assert mentions.drift(a, a, "day") == "kept"
-    assert mentions.drift(a, b, "day") == "substituted"
-    assert mentions.drift(a, {}, "day") == "dropped"
-    assert mentions.drift({}, b, "day") is None
+def test_guards_and_coordination():
+    find = lambda text, slot: [m[0] for m in mentions.mentions(text)[slot]]
+    assert find("not monday, but tuesday", "day") == ["tuesday"] and find("I don’t want cheap or moderate", "price") == []
+    assert find("anywhere other than north, east, west", "area") == [] and find("no cheap ones. expensive", "price") == ["expensive"]
+    assert find("after monday or tuesday", "day") == [] and find("after monday the hotel on tuesday", "day") == []
+    assert find("coming from the north", "area") == [] and find("far from it, north", "area") == ["north"]
+    assert find("not one two three four five six monday", "day") == ["monday"] and find("too cheap and nice, moderate", "price") == ["moderate"]
+    assert find("never at 18:30 or 19:00; at 20:00", "time") == ["20:00"]
+
+
+def test_drift(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("day", "on monday", "on monday"), ("day", "on monday", "on tuesday"), ("day", "on monday", "soon"), ("day", "soon", "on monday"), ("day", "monday or friday", "friday"), ("time", "at 5:15", "at 17:15"), ("food", "asian food", "asian oriental food"), ("place", "the mill", "mill road"), ("area", "north", "north or south")]
+    df = spark.createDataFrame(rows, "slot string, a string, b string").select("slot", *[mentions.extract(F.col(c), ["the mill", "mill road"], ["asian", "asian oriental"]).alias(c) for c in "ab"])
+    out = F.lit(None).cast("string")
+    for slot in mentions.SLOTS:
+        out = F.when(F.col("slot") == slot, mentions.drift(F.col("a"), F.col("b"), slot)).otherwise(out)
+    assert [r[0] for r in df.select(out).collect()] == ["kept", "substituted", "dropped", None, "dropped", "kept", "kept", "kept", "kept"]
+
+
+UTTERANCES = [
+    ("I need a train to Ely", "L0", "want_statement", "L0"), ("Yes, please book it", "L0", "command", "L0"), ("I'd like a cheap room", "L0", "would_like", "L0"), ("We’re looking for a pub", "L0", "looking_for", "L0"),
+    ("Great. What is the phone number", "L0", "wh_question", "L0"), ("Is there a pool?", "L0", "yes_no_question", "L0"), ("Can you get me a taxi", "L1", "you_formula", "L1"), ("May I have the address", "L1", "i_formula", "L1"),
+    ("how about thai", "L1", "how_about", "L1"), ("What about the north?", "L0", "wh_question", "L1"), ("I don't need that", "NR", "decline", "NR"), ("No thanks", "NR", "decline", "NR"), ("It doesn't matter", "INF", "no_preference", "INF"),
+    ("yes, sure", "INF", "bare_answer", "INF"), ("thai, in there", "INF", "fragment", "INF"), ("The trip is on friday", "L2", "slot_value", "L2"), ("there are six people", "L2", "party_or_stay", "L2"), ("my day is over at noon", "L2", "clock_word", "L2"),
+    ("a museum would be lovely", "L2", "service_word", "L2"), ("It is cold", "L3", "no_detail", "L3"), ("the venue is nice", "L3", "no_detail", "L2"), ("We are off to Ely", "L3", "no_detail", "L2"), ("Thanks, that is all I need for today. Bye!", "L0", "want_statement", "NR"),
+    ("That works for me. Thanks!", "L3", "no_detail", "INF"), ("where i am it is cold", "L3", "no_detail", "L3"), ("the trip is never on friday", "L3", "no_detail", "L3"),
+]
+
+
+def test_levels(spark):
+    df = spark.createDataFrame([(i, u[0], False) for i, u in enumerate(UTTERANCES)] + [(98, "book it", True), (99, None, False)], "i int, text string, social boolean")
+    got = {r.i: r for r in levels.leveled(df, "text", "social", versions=("auto-v1", "auto-v2")).collect()}
+    for i, (text, one, rule, two) in enumerate(UTTERANCES):
+        assert (got[i].auto_v1.level, got[i].auto_v1.rule, got[i].auto_v2.level) == (one, rule, two), text
+    assert tuple(got[98].auto_v1) == ("NR", "social_acts") and tuple(got[99].auto_v2) == (None, None)
 
 
 GOOD = {"route": "request", "category": "booking", "slots": [{"slot": "hotel.stay", "value": "2"}], "requested_slots": ["hotel.area"]}

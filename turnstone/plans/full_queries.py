@@ -1,89 +1,17 @@
-"""The bootstrap's queries with the plan's constants, 10,000 replicates and its seed, beside those of the same number whose SQL has 40."""
+"""The plan's analysis and its precision report, with 10,000 replicates."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnstone import catalog, registry
+from turnstone import catalog
 from turnstone.catalog import with_sql
 from turnstone.operators import bootstrap
-from turnstone.plans.scoring_queries import LEVEL, SUMMARY, TERMS, correct, level, p0
+from turnstone.plans.scoring_queries import LEVEL, SAMPLES, SEED, SUMMARY, correct, level, p0
 from turnstone.registry import query
 
-SAMPLES, SEED = 10_000, 20261020
 LEAST_DIALOGUES, TOLERANCE = 30, 0.002  #: fewer dialogues in the smallest cell aren't tested; ends of two seeds' intervals agree to this
 
-OLD = registry.oracles()
-
-
-def full(name: str) -> str:
-    return OLD[name].replace("range(40)", f"range({SAMPLES})").replace("'11:'", f"'{SEED}:'").replace("'12:'", f"'{SEED + 1}:'")
-
-
-def boot(spark, sf, seed=SEED):
-    v = bootstrap.vectors(p0(spark, sf), ["condition"], "conv_id", correct().cast("int"), F.lit(1))
-    return bootstrap.replicates_blocked(v, "condition", "conv_id", SAMPLES, seed)
-
-
-def derived_values(spark, sf, terms=TERMS):
-    d = bootstrap.derived(boot(spark, sf).withColumnRenamed("condition", "stat"), spark.createDataFrame(terms, "derived string, stat string, coef double"))
-    return d.withColumn("value", F.round("value", 9))
-
-
-@query("B01_full_bootstrap_interval", full("B01_bootstrap_interval"))
-def interval(spark, sf):
-    return bootstrap.summary(boot(spark, sf), ["condition"])
-
-
-@query("B02_full_paired_bootstrap", full("B02_paired_bootstrap"))
-def paired(spark, sf):
-    return derived_values(spark, sf).where("derived = 'full-none'")
-
-
-@query("B03_full_shared_bootstrap", full("B03_shared_bootstrap"))
-def shared(spark, sf):
-    return boot(spark, sf)
-
-
-@query("B04_full_interval_and_p", full("B04_interval_and_p"))
-def interval_p(spark, sf):
-    return interval(spark, sf).select("condition", "low", "high", "p")
-
-
-@query("B05_full_bootstrap_p", full("B05_bootstrap_p"))
-def boot_p(spark, sf):
-    return bootstrap.summary(derived_values(spark, sf), ["derived"]).select("derived", "p")
-
-
-@query("B08_full_linear_combination", full("B08_linear_combination"))
-def combination(spark, sf):
-    terms = [("known", "full", 1.0), ("known", "none", -1.0), ("lacking", "full", 1.0), ("lacking", "absent", 1.0)]
-    return derived_values(spark, sf, terms).groupBy("derived").agg(F.count("value").alias("defined"))
-
-
-@query("B09_full_second_seed", full("B09_second_seed"))
-def second_seed(spark, sf):
-    return boot(spark, sf, SEED + 1).where("condition = 'full'")
-
-
-@query("B11_full_trends", full("B11_trends"))
-def trends(spark, sf):
-    return derived_values(spark, sf).where("derived <> 'full-none'").groupBy("derived").agg(F.round(F.avg("value"), 9).alias("mean"), F.count(F.lit(1)).alias("n"))
-
-
-@query("B17_full_holm_family", full("B17_holm_family"))
-def family(spark, sf):
-    plan = spark.createDataFrame([("full-none",), ("quadratic",), ("linear",), ("absent",)], "member string")
-    return bootstrap.holm(plan.join(boot_p(spark, sf).withColumnRenamed("derived", "member"), "member", "left"))
-
-
-@query("B23_full_main_effect", full("B23_main_effect"))
-def main_effect(spark, sf):
-    s = bootstrap.summary(derived_values(spark, sf), ["derived"]).withColumn("out", (F.col("low") > 0) | (F.col("high") < 0))
-    at = lambda d: F.bool_or(F.when(F.col("derived") == d, F.col("out")))
-    return s.agg(at("full-none").alias("main_effect"), at("quadratic").alias("interaction"))
-
-
 #: A plan: rates by condition, over all and by level; benefits of two conditions against none; their trends over L0 to L2.
 LEVELS = ("ALL", "L0", "L1", "L2", "L3")
 PLAN = [(f"benefit:{c}|{x}", f"{s}|{x}", w) for c in ("full", "one") for x in LEVELS for s, w in ((c, 1.0), ("none", -1.0))]
@@ -121,7 +49,7 @@ def summary(spark, v, seed):
     return bootstrap.summary(r.unionByName(d).withColumn("value", F.round("value", 9)), ["stat"])
 
 
-@query("B24_full_precision_report", with_sql(CELLS + f" SELECT stat, one.low, one.high, (one.high - one.low) / 2 AS half_width, two.low AS second_low, two.high AS second_high, greatest(abs(one.low - two.low), abs(one.high - two.high)) AS difference, round(greatest(abs(one.low - two.low), abs(one.high - two.high)), 9) <= {TOLERANCE} AS agrees FROM one JOIN two USING (stat) WHERE stat LIKE 'linear:%' OR stat LIKE 'benefit:%|ALL'"))
+@query("B24_precision_report", with_sql(CELLS + f" SELECT stat, one.low, one.high, (one.high - one.low) / 2 AS half_width, two.low AS second_low, two.high AS second_high, greatest(abs(one.low - two.low), abs(one.high - two.high)) AS difference, round(greatest(abs(one.low - two.low), abs(one.high - two.high)), 9) <= {TOLERANCE} AS agrees FROM one JOIN two USING (stat) WHERE stat LIKE 'linear:%' OR stat LIKE 'benefit:%|ALL'"))
 def precision(spark, sf):
     """Intervals of the trends and the overall benefits, and how far the ends move with a second seed."""
     v = vectors(spark, sf)
@@ -131,7 +59,7 @@ def precision(spark, sf):
     return j.select("stat", "low", "high", ((F.col("high") - F.col("low")) / 2).alias("half_width"), "second_low", "second_high", gap.alias("difference"), (F.round(gap, 9) <= TOLERANCE).alias("agrees"))
 
 
-@query("B25_full_whole_analysis", with_sql(CELLS + f""", pt AS (SELECT stat, sum(num) / sum(den) AS point, count(*)::BIGINT AS dialogues FROM v GROUP BY 1), pts AS (SELECT * FROM pt UNION ALL SELECT derived, CASE WHEN count(*) = any_value(want) THEN sum(coef * point) END, CASE WHEN count(*) = any_value(want) THEN min(dialogues) ELSE 0 END FROM terms JOIN want USING (derived) JOIN pt USING (stat) GROUP BY 1),
+@query("B25_whole_analysis", with_sql(CELLS + f""", pt AS (SELECT stat, sum(num) / sum(den) AS point, count(*)::BIGINT AS dialogues FROM v GROUP BY 1), pts AS (SELECT * FROM pt UNION ALL SELECT derived, CASE WHEN count(*) = any_value(want) THEN sum(coef * point) END, CASE WHEN count(*) = any_value(want) THEN min(dialogues) ELSE 0 END FROM terms JOIN want USING (derived) JOIN pt USING (stat) GROUP BY 1),
 st AS (SELECT stat, round(point, 9) AS point, low, high, p, excluded, dialogues, CASE WHEN dialogues < {LEAST_DIALOGUES} THEN 'sparse' WHEN excluded > 0.01 * (replicates + excluded) THEN 'unstable' ELSE 'ok' END AS status FROM one JOIN pts USING (stat)),
 f AS (SELECT unnest({list(FAMILY)}) AS stat), q AS (SELECT stat, CASE WHEN status = 'ok' THEN p END AS p FROM f LEFT JOIN st USING (stat)), r AS (SELECT *, coalesce(p, 1.0) AS q, row_number() OVER (ORDER BY coalesce(p, 1.0), stat) AS r, count(*) OVER () AS m FROM q), h AS (SELECT stat, p, max(least(1.0::DOUBLE, (m - r + 1) * q)) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) AS adjusted FROM r)
 SELECT stat, point, low, high, excluded, coalesce(dialogues, 0)::BIGINT AS dialogues, coalesce(status, 'not_run') AS status, h.p, adjusted, coalesce(stat = '{PRIMARY}' AND status = 'ok' AND (low > 0 OR high < 0), false) AS decided FROM st FULL JOIN h USING (stat)"""))

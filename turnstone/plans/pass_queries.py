@@ -11,7 +11,7 @@ from turnstone.functions import rules
 from turnstone.functions import text as tx
 from turnstone.operators import audits, bootstrap, merging, passes, sampling, scoring
 from turnstone.plans.audit_queries import HALVES, RULES, halves
-from turnstone.plans.scoring_queries import BOOT, LABELS, correct, p0, p3
+from turnstone.plans.scoring_queries import BOOT, LABELS, SAMPLES, SEED, correct, p0, p3
 from turnstone.registry import query
 
 
@@ -33,7 +33,7 @@ def combination(spark, sf):
     p = p0(spark, sf)
     v = bootstrap.vectors(p, ["condition"], "conv_id", correct().cast("int"), F.lit(1)).withColumnRenamed("condition", "stat")
     terms = spark.createDataFrame([("known", "full", 1.0), ("known", "none", -1.0), ("lacking", "full", 1.0), ("lacking", "absent", 1.0)], "derived string, stat string, coef double")
-    d = bootstrap.derived(bootstrap.replicates_blocked(v, "stat", "conv_id", 40, 11), terms)
+    d = bootstrap.derived(bootstrap.replicates_blocked(v, "stat", "conv_id", SAMPLES, SEED), terms)
     return d.groupBy("derived").agg(F.count("value").alias("defined"))
 
 
@@ -222,22 +222,16 @@ def version(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, v1).otherwise(v2).alias("rule"))
 
 
-@query("K12_shuffled_sheet", "SELECT c_custkey, row_number() OVER (ORDER BY md5('9:' || c_custkey), c_custkey) AS place FROM customer WHERE c_nationkey = 5")
-def shuffled(spark, sf):
-    c = t(spark, sf, "customer").where("c_nationkey = 5")
-    return c.select("c_custkey", F.row_number().over(Window.orderBy(sampling.draw_key(9, "c_custkey"), "c_custkey")).cast("long").alias("place"))  # one sheet
-
-
 @query("K14_log_order", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
 def log_order(spark, sf):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return t(spark, sf, "orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("B09_second_seed", with_sql(BOOT.replace("'11:'", "'12:'") + " SELECT condition, replicate, value FROM rep WHERE condition = 'full'"))
+@query("B09_second_seed", with_sql(BOOT.replace(f"'{SEED}:'", f"'{SEED + 1}:'") + " SELECT condition, replicate, value FROM rep WHERE condition = 'full'"))
 def second_seed(spark, sf):
     v = bootstrap.vectors(p0(spark, sf), ["condition"], "conv_id", correct().cast("int"), F.lit(1))
-    return bootstrap.replicates_blocked(v, "condition", "conv_id", 40, 12).where("condition = 'full'")
+    return bootstrap.replicates_blocked(v, "condition", "conv_id", SAMPLES, SEED + 1).where("condition = 'full'")
 
 
 @query("B22_primary_decision", with_sql(", c AS (SELECT count(DISTINCT conv_id) AS d FROM p0 WHERE split = 'dev') SELECT CASE WHEN d < 30 THEN 'refused_sparse' ELSE 'tested' END AS decision FROM c"))
@@ -276,7 +270,3 @@ def by_variant(spark, sf):
     return i.groupBy("variant", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("B24_precision_report", with_sql(BOOT + ", r2 AS (" + "SELECT condition, stddev_samp(value) AS se, count(value)::BIGINT AS n FROM rep GROUP BY 1) SELECT * FROM r2"))
-def precision(spark, sf):
-    v = bootstrap.vectors(p0(spark, sf), ["condition"], "conv_id", correct().cast("int"), F.lit(1))
-    return bootstrap.replicates_blocked(v, "condition", "conv_id", 40, 11).groupBy("condition").agg(F.stddev_samp("value").alias("se"), F.count("value").alias("n"))

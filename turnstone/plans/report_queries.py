@@ -76,13 +76,6 @@ def identical(spark, sf):
     return j.groupBy("condition").agg(F.avg((F.col("pred") != 0).cast("int")).alias("detection"), F.avg(correct().cast("int")).alias("oracle"), F.avg((correct() & (F.col("other") != 0)).cast("int")).alias("routed"))
 
 
-@query("B18_holm_status", "WITH m AS (SELECT o_orderpriority AS member, count(DISTINCT o_custkey) AS d, (count(*) % 89) / 890.0::DOUBLE AS p FROM orders WHERE o_orderkey % 40 = 1 GROUP BY 1), q AS (SELECT member, CASE WHEN d < 75 THEN NULL ELSE p END AS p, CASE WHEN d < 75 THEN 'untestable' ELSE 'tested' END AS status FROM m), r AS (SELECT *, coalesce(p, 1.0) AS q, row_number() OVER (ORDER BY coalesce(p, 1.0), member) AS r, count(*) OVER () AS m FROM q) SELECT member, p, status, max(least(1.0::DOUBLE, (m - r + 1) * q)) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) AS adjusted FROM r")
-def holm_status(spark, sf):
-    m = catalog.table(spark, sf, "orders").where("o_orderkey % 40 = 1").groupBy(F.col("o_orderpriority").alias("member")).agg(F.countDistinct("o_custkey").alias("d"), ((F.count(F.lit(1)) % 89) / 890.0).alias("p"))
-    thin = F.col("d") < 75
-    return bootstrap.holm(m.select("member", F.when(~thin, F.col("p")).alias("p"), F.when(thin, "untestable").otherwise("tested").alias("status")))
-
-
 @query("B19_sensitivity", with_sql("SELECT 'all' AS line, avg((gold = pred)::INT) AS rate, count(*)::BIGINT AS n FROM p0 WHERE condition = 'full' UNION ALL SELECT 'minus_dup', avg((gold = pred)::INT), count(*) FROM p0 WHERE condition = 'full' AND conv_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"))
 def sensitivity(spark, sf):
     p = p0(spark, sf).where("condition = 'full'")
@@ -209,13 +202,6 @@ def split_groups(spark, sf):
     return passes.split_groups(catalog.table(spark, sf, "orders").select(F.col("o_custkey").alias("group_id"), F.col("o_orderstatus").alias("split")))
 
 
-@query("U19_eligible_keys", "WITH e AS (SELECT user_id AS k, (['form', 'context', 'reveal'])[event_id % 3 + 1] AS p FROM events WHERE event_id % 61 = 0) SELECT k FROM e GROUP BY 1 HAVING bool_or(p = 'form') AND NOT bool_or(p = 'context')")
-def eligible_keys(spark, sf):
-    p = F.element_at(F.array(*map(F.lit, passes.PASSES)), (F.col("event_id") % 3 + 1).cast("int"))
-    e = catalog.table(spark, sf, "events").where("event_id % 61 = 0").select(F.col("user_id").alias("k"), p.alias("pass"))
-    return passes.eligible(e, "context", ["k"])
-
-
 @query("W16_superseded_lineage", "SELECT o_orderkey, EXISTS (SELECT 1 FROM orders p WHERE p.o_orderkey % 9 = 0 AND p.o_orderkey = o.o_orderkey + 5) AS superseded FROM orders o")
 def superseded(spark, sf):
     o = catalog.table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, F.col("o_orderkey") - 5).alias("prior"))

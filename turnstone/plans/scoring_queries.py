@@ -163,10 +163,10 @@ def percentile(spark, sf):
     return scoring.order_statistic(catalog.table(spark, sf, "documents"), ["lang"], "n_chars", 0.025).withColumnRenamed("n_chars", "low")
 
 
-SAMPLES = 40
+SAMPLES, SEED = 10_000, 20261020  #: the plan's constants
 BOOT = f""", v AS (SELECT condition, conv_id, sum((gold = pred)::INT)::DOUBLE AS num, count(*)::DOUBLE AS den FROM p0 GROUP BY 1, 2),
 c AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT conv_id FROM p0)),
-draws AS (SELECT r.r AS replicate, (('0x' || substr(md5('11:' || r.r || ':' || j.j), 1, 8))::BIGINT) % (SELECT max(n) FROM c) AS i FROM (SELECT unnest(range({SAMPLES})) AS r) r, (SELECT unnest(range((SELECT max(n) FROM c))) AS j) j),
+draws AS (SELECT r.r AS replicate, (('0x' || substr(md5('{SEED}:' || r.r || ':' || j.j), 1, 8))::BIGINT) % (SELECT max(n) FROM c) AS i FROM (SELECT unnest(range({SAMPLES})) AS r) r, (SELECT unnest(range((SELECT max(n) FROM c))) AS j) j),
 w AS (SELECT replicate, conv_id, count(*) AS w FROM draws JOIN c USING (i) GROUP BY 1, 2),
 rep AS (SELECT condition, replicate, CASE WHEN sum(w * den) <> 0 THEN sum(w * num) / sum(w * den) END AS value FROM v JOIN w USING (conv_id) GROUP BY 1, 2)"""
 SUMMARY = """SELECT {k}, (list(value ORDER BY value))[(floor((count(value) - 1) * 0.025) + 1)::BIGINT] AS low, (list(value ORDER BY value))[(floor((count(value) - 1) * 0.975) + 1)::BIGINT] AS high,
@@ -175,7 +175,7 @@ greatest(1.0::DOUBLE / count(value), least(1.0::DOUBLE, 2.0::DOUBLE * least(coun
 
 def boot(spark, sf):
     p = p0(spark, sf)
-    return bootstrap.replicates(bootstrap.vectors(p, ["condition"], "conv_id", correct().cast("int"), F.lit(1)), bootstrap.weights(p, "conv_id", SAMPLES, 11), ["condition"], "conv_id")
+    return bootstrap.replicates_blocked(bootstrap.vectors(p, ["condition"], "conv_id", correct().cast("int"), F.lit(1)), "condition", "conv_id", SAMPLES, SEED)
 
 
 @query("B03_shared_bootstrap", with_sql(BOOT + " SELECT * FROM rep"))
@@ -385,8 +385,3 @@ def failing_seed(spark, sf):
     return p3(spark, sf).where((F.col("condition") == "full") & ~correct()).groupBy("item_id").agg(F.min_by("pred", "seed").alias("pred"), F.min("seed").alias("seed"))
 
 
-@query("B25_whole_analysis", with_sql(BOOT + " " + SUMMARY.format(k="condition", t="rep")))
-def analysis(spark, sf):
-    """All statistics of a plan on one sequence of draws: sums per dialogue, replicates by blocks, intervals and p."""
-    v = bootstrap.vectors(p0(spark, sf), ["condition"], "conv_id", correct().cast("int"), F.lit(1))
-    return bootstrap.summary(bootstrap.replicates_blocked(v, "condition", "conv_id", SAMPLES, 11), ["condition"])

@@ -24,9 +24,9 @@ def apostrophes(spark, sf):
     return catalog.table(spark, sf, "part").select("p_partkey", tx.fold_apostrophes(F.concat("p_name", F.lit("’s  ‘x"))).alias("folded"))
 
 
-@query("F03_ascii_key", "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents WHERE lang = 'en'")
+@query("F03_ascii_key", "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
 def ascii_key(spark, sf):
-    return docs(spark, sf).where("lang = 'en'").select("doc_id", tx.ascii_key(F.col("text")).alias("key"))
+    return docs(spark, sf).select("doc_id", tx.ascii_key(F.col("text")).alias("key"))
 
 
 SLOTS = "SELECT p_partkey, (['hotel.area', 'train.leave', 'hotel.people', 'restaurant.price', 'hotel.name'])[p_partkey % 5 + 1] AS k, CASE p_partkey % 5 WHEN 0 THEN 'City  Centre' WHEN 1 THEN (p_partkey % 26) || ':' || lpad((p_partkey % 61)::VARCHAR, 2, '0') || ' pm' WHEN 2 THEN (['one', 'two', 'twelve', '7'])[p_size % 4 + 1] WHEN 3 THEN (['inexpensive', 'moderately', 'cheap'])[p_size % 3 + 1] ELSE upper(p_name) END AS v FROM part"
@@ -95,9 +95,9 @@ def quoted(spark, sf):
     return catalog.table(spark, sf, "pages").select("page_id", tx.quoted_spans(F.col("html")).alias("spans"))
 
 
-@query("F33_speech_verb", r"SELECT doc_id, regexp_matches(text, '(?i)\b(the|und|les)\b') AS found FROM documents WHERE lang = 'en'")
+@query("F33_speech_verb", r"SELECT doc_id, regexp_matches(text, '(?i)\b(the|und|les)\b') AS found FROM documents")
 def speech(spark, sf):
-    return docs(spark, sf).where("lang = 'en'").select("doc_id", F.col("text").rlike(r"(?i)\b(the|und|les)\b").alias("found"))
+    return docs(spark, sf).select("doc_id", F.col("text").rlike(r"(?i)\b(the|und|les)\b").alias("found"))
 
 
 @query("F34_sentences", r"SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda s: trim(s) <> ''))::BIGINT AS n FROM documents")
@@ -132,40 +132,6 @@ def acts(spark, sf):
     return one.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("act", "slots"))).alias("acts"))
 
 
-@query("F38_act_categories", f"WITH {ACTS}, c AS (SELECT user_id, unnest(list_filter([CASE WHEN act LIKE '%-Request' OR act LIKE 'Police-%' THEN 'info_seeking' END, CASE WHEN act LIKE '%-Inform' AND (list_contains(slots, 'People') OR list_contains(slots, 'Stay')) THEN 'booking' END, CASE WHEN act = 'Train-Inform' THEN 'travel' END, CASE WHEN act IN ('Hotel-Inform', 'Restaurant-Inform') AND (NOT (list_contains(slots, 'People') OR list_contains(slots, 'Stay')) OR list_contains(slots, 'Area')) THEN 'recommendation' END], lambda x: x IS NOT NULL)) AS category FROM acts) SELECT user_id, category FROM c UNION SELECT user_id, 'no_request' FROM acts GROUP BY 1 HAVING bool_and(act = 'general-thank')")
-def act_categories(spark, sf):
-    return acts(spark, sf).select("user_id", F.explode(rules.categories(F.col("acts"))).alias("category"))
-
-
-@query("F39_primary_category", f"WITH {ACTS}, x AS (SELECT user_id, bool_and(act = 'general-thank') AS social, bool_or(act LIKE '%-Request' OR act LIKE 'Police-%') AS i, bool_or(act LIKE '%-Inform' AND (list_contains(slots, 'People') OR list_contains(slots, 'Stay'))) AS b, bool_or(act = 'Train-Inform') AS t, bool_or(act IN ('Hotel-Inform', 'Restaurant-Inform') AND (NOT (list_contains(slots, 'People') OR list_contains(slots, 'Stay')) OR list_contains(slots, 'Area'))) AS r FROM acts GROUP BY 1) SELECT user_id, CASE WHEN social THEN 'no_request' WHEN i THEN 'info_seeking' WHEN b THEN 'booking' WHEN t THEN 'travel' WHEN r THEN 'recommendation' END AS category FROM x")
-def primary_category(spark, sf):
-    return acts(spark, sf).select("user_id", rules.primary(rules.categories(F.col("acts"))).alias("category"))
-
-
-@query("A07_category_counts", f"WITH {ACTS} SELECT act, count(*)::BIGINT AS users, sum(len(slots))::BIGINT AS slots FROM acts GROUP BY 1")
-def category_counts(spark, sf):
-    return acts(spark, sf).select("user_id", F.explode("acts").alias("act", "s")).groupBy("act").agg(F.count(F.lit(1)).alias("users"), F.sum(F.size("s")).alias("slots"))
-
-
-@query("P02_social_only", f"WITH {ACTS} SELECT user_id, bool_and(act = 'general-thank') AS social FROM acts GROUP BY 1")
-def social(spark, sf):
-    return acts(spark, sf).select("user_id", rules.social_only(F.col("acts")).alias("social"))
-
-
-@query("F71_act_domains", f"WITH {ACTS} SELECT user_id, coalesce(list_sort(list(DISTINCT lower(split_part(act, '-', 1))) FILTER (WHERE act NOT LIKE 'general%')), []) AS domains FROM acts GROUP BY 1")
-def act_domains(spark, sf):
-    return acts(spark, sf).select("user_id", rules.act_domains(F.col("acts")).alias("domains"))
-
-
-@query("F40_gold_reference", "WITH v AS (SELECT user_id, event_type AS key, list(DISTINCT json_extract(props, '$.k')::BIGINT % 4) AS vals FROM events WHERE event_id % 50 = 0 GROUP BY 1, 2) SELECT user_id, bool_or(len(vals) > 1) AS conflicting, CASE WHEN NOT bool_or(len(vals) > 1) THEN array_to_string(list_sort(list(key || '=' || vals[1])), ';') END AS slots FROM v GROUP BY 1")
-def gold(spark, sf):
-    """A key with two different values voids the whole reference."""
-    e = catalog.table(spark, sf, "events").where("event_id % 50 = 0")
-    v = e.groupBy("user_id", F.col("event_type").alias("key")).agg(F.collect_set(F.get_json_object("props", "$.k").cast("long") % 4).alias("vals"))
-    g = v.groupBy("user_id").agg(F.bool_or(F.size("vals") > 1).alias("conflicting"), F.array_join(F.array_sort(F.collect_list(F.concat("key", F.lit("="), F.element_at("vals", 1).cast("string")))), ";").alias("slots"))
-    return g.withColumn("slots", F.when(~F.col("conflicting"), F.col("slots")))
-
-
 PREDICTED = "WITH t AS (SELECT p_partkey, list_distinct([p_size % 3, p_size % 5, p_size % 7]) AS gold, list_distinct([p_size % 3, p_size % 4, p_size % 7]) AS pred FROM part)"
 
 
@@ -255,12 +221,6 @@ def phase(spark, sf):
     return catalog.table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp"), "pre_freeze").otherwise("post_freeze").alias("phase"))
 
 
-@query("F59_iso_date", "SELECT event_id, (event_id % 13) BETWEEN 1 AND 12 AND (event_id % 31) BETWEEN 1 AND 28 AS valid FROM events WHERE event_id % 31 < 29")
-def iso_date(spark, sf):
-    d = F.format_string("2024-%02d-%02d", F.col("event_id") % 13, F.col("event_id") % 31)
-    return catalog.table(spark, sf, "events").where("event_id % 31 < 29").select("event_id", (d.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(d, "yyyy-MM-dd").isNotNull()).alias("valid"))
-
-
 @query("F61_nesting", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 3 END AS depth FROM events""")
 def nesting(spark, sf):
     raw = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat(F.lit('{"x[{[": [['), F.lit("1]], \"y\": "), "props", F.lit("}")))
