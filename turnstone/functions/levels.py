@@ -70,16 +70,17 @@ def normalized(text: Column) -> Column:
 
 def level(text: Column, social_only: Column, found: Column, version: str = "auto-v1") -> Column:
     """struct<level, rule> of an utterance; found are its mentions (``mentions.extract``), social_only says that its acts are all social. A null text has no level."""
+    has = lambda x, pattern: x.rlike("(?U)" + pattern)  # noqa: E731  words may have any letters
     t, no = normalized(text), F.lit(None).cast("string")
     named = lambda level, rule: F.struct(F.lit(level).alias("level"), F.lit(rule).alias("rule"))
     out = F.when(text.isNull(), F.struct(no.alias("level"), no.alias("rule"))).when(social_only, named("NR", "social_acts"))
     for name, rule, pattern in VERSIONS[version]:
-        out = out.when(t.rlike(pattern), named(name, rule))
-    out = out.when(~t.rlike(VERB), named("INF", "fragment")).when(F.exists(F.map_values(found), lambda v: F.size(v) > 0), named("L2", "slot_value"))
+        out = out.when(has(t, pattern), named(name, rule))
+    out = out.when(~has(t, VERB), named("INF", "fragment")).when(F.exists(F.map_values(found), lambda v: F.size(v) > 0), named("L2", "slot_value"))
     for rule, pattern in DETAILS:
-        out = out.when(t.rlike(pattern), named("L2", rule))
+        out = out.when(has(t, pattern), named("L2", rule))
     if version == "auto-v2":
-        out = out.when(t.rlike(MORE_DETAILS) | text.rlike(PLACE_NAME), named("L2", "extra_wording_detail"))
+        out = out.when(has(t, MORE_DETAILS) | has(text, PLACE_NAME), named("L2", "extra_wording_detail"))
     return out.otherwise(named("L3", "no_detail"))
 
 

@@ -207,21 +207,6 @@ def belief(spark, sf):
     return m.select("user_id", F.array_sort(F.map_keys(F.map_filter("m", lambda _, v: v))).alias("domains")).where("size(domains) > 0")
 
 
-RULES_V2 = [("closing", r"^(?:thanks|bye)[.! ]*$"), ("question", r"\?"), ("long", r"^.{400,}"), ("number", r"[0-9]")]
-
-
-@query("F36_second_cascade", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}', 's') THEN '{n}'" for n, p in RULES_V2) + " ELSE 'none' END AS rule FROM documents")
-def second_cascade(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", rules.first_match(F.col("text"), [(n, f"(?s){p}") for n, p in RULES_V2], "none").alias("rule"))
-
-
-@query("F37_rules_version", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN regexp_matches(text, '[0-9]') THEN 'number' ELSE 'none' END ELSE CASE WHEN regexp_matches(text, '\\?') THEN 'question' ELSE 'none' END END AS rule FROM documents")
-def version(spark, sf):
-    x = F.col("text")
-    v1, v2 = rules.first_match(x, [("number", "[0-9]")], "none"), rules.first_match(x, [("question", r"\?")], "none")
-    return t(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, v1).otherwise(v2).alias("rule"))
-
-
 @query("K14_log_order", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
 def log_order(spark, sf):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")

@@ -129,16 +129,6 @@ def majority(spark, sf):
     return scoring.majority_without_own(catalog.items(spark, sf).select("conv_id", level().alias("label")), "conv_id", "label", ["L0", "L1", "L2", "L3", "INF", "NR"])
 
 
-@query("A25_level_report", with_sql(f"SELECT {LEVEL} AS level, split, count(*)::BIGINT AS n, avg(words) AS words FROM items GROUP BY 1, 2"))
-def level_report(spark, sf):
-    return catalog.items(spark, sf).groupBy(level().alias("level"), "split").agg(F.count(F.lit(1)).alias("n"), F.avg("words").alias("words"))
-
-
-@query("A06_levels_pivot", with_sql(f"SELECT split, " + ", ".join(f"count_if({LEVEL} = '{x}')::BIGINT AS {x}" for x in ("L0", "L1", "L2", "L3", "INF")) + " FROM items GROUP BY 1"))
-def levels_pivot(spark, sf):
-    return catalog.items(spark, sf).withColumn("level", level()).groupBy("split").pivot("level", ["L0", "L1", "L2", "L3", "INF"]).agg(F.count(F.lit(1))).na.fill(0)
-
-
 @query("A13_grouping_sets", with_sql(f"SELECT split, {LEVEL} AS level, grouping(split)::INT AS g_split, grouping({LEVEL})::INT AS g_level, count(*)::BIGINT AS n, avg((turn = 0)::INT) AS first_share FROM items GROUP BY GROUPING SETS ((), (split), ({LEVEL}))"))
 def grouping(spark, sf):
     catalog.items(spark, sf).withColumn("level", level()).createOrReplaceTempView("turnstone_items")

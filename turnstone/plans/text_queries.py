@@ -105,19 +105,6 @@ def sentences(spark, sf):
     return docs(spark, sf).select("doc_id", F.size(tx.sentences(F.col("text"))).cast("long").alias("n"))
 
 
-CASCADE = [("license", r"(?i)licensed under|all rights reserved"), ("email", r"[a-z0-9._]+@[a-z0-9.]+"), ("secret", r"password=|token ="), ("table", r" \| "), ("number", r"[0-9]+"), ("stopword", r"(?i)\b(the|of|and)\b")]
-
-
-@query("F35_level_cascade", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in CASCADE) + " ELSE 'none' END AS rule FROM documents")
-def cascade(spark, sf):
-    return docs(spark, sf).select("doc_id", rules.first_match(F.col("text"), CASCADE, "none").alias("rule"))
-
-
-@query("A09_rule_counts", "WITH r AS (SELECT lang, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in CASCADE) + " ELSE 'none' END AS rule FROM documents) SELECT lang, rule, count(*)::BIGINT AS n FROM r GROUP BY 1, 2")
-def rule_counts(spark, sf):
-    return docs(spark, sf).groupBy("lang", rules.first_match(F.col("text"), CASCADE, "none").alias("rule")).agg(F.count(F.lit(1)).alias("n"))
-
-
 #: Acts made from events: the type and the number decide domain and kind.
 ACTS = """acts AS (SELECT user_id, a.act, list_sort(list_distinct(list(a.slot))) AS slots FROM (SELECT user_id, (['Hotel', 'Train', 'Police', 'Restaurant', 'general'])[event_id % 5 + 1] || '-' || CASE WHEN event_id % 5 = 4 THEN 'thank' ELSE (['Inform', 'Request'])[user_id % 2 + 1] END AS act,
  (['People', 'Day', 'Area', 'Stay', 'none'])[(json_extract(props, '$.k')::BIGINT) % 5 + 1] AS slot FROM events WHERE event_id % 97 < 3 OR user_id % 4 = 1 AND event_id % 5 = 4) a GROUP BY 1, 2)"""
