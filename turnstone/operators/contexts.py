@@ -60,33 +60,60 @@ def rendered(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
     return s.select("conv_id", "turn", "target", F.array_join(shown, "\n").alias("context"))
 
 
+def numbered(prefixes: DataFrame) -> DataFrame:
+    """prefixes: (split, t, mask, donor), with rank: the donor's number, from 0, within its class (split, t, mask).
+
+    A class is numbered by parts of three digits of the donors' md5: the parts' sizes are summed first, then each part is
+    numbered by itself, so no task orders a whole class.
+    """
+    cls = ["split", "t", "mask"]
+    parts = prefixes.withColumn("part", F.substring(F.md5(F.col("donor").cast("string")), 1, 3))
+    before = Window.partitionBy(*cls).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = parts.groupBy(*cls, "part").agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = F.row_number().over(Window.partitionBy(*cls, "part").orderBy("donor")) - 1
+    return parts.withColumn("within", within).join(first, [*cls, "part"]).select(*cls, "donor", (F.col("first") + F.col("within")).alias("rank"))
+
+
 def donors(turns: DataFrame, seed: int = 7) -> DataFrame:
     """Each item with prior context and its donor: (conv_id, turn, donor, n_candidates, status).
 
     A donor is another dialogue of the same split with at least t turns whose first t turns share no domain with the target's
-    active domains; of the candidates the one with the smallest md5 of seed, item and donor is drawn. Dialogues are first
-    collapsed to (split, t, mask), of which there are few, so the search for candidates runs over those classes; only the
-    matching classes meet their dialogues, by an equi-join on (split, t, mask).
+    active domains. Candidates are never paired with targets: dialogues are counted by class (split, t, mask), of which there
+    are few; a target draws a number below the number of its candidates, by the md5 of seed and item; the classes' running
+    counts turn it into a class and a rank, and one equi-join on those finds the donor.
     """
-    prefixes = cumulative_mask(turns).select("split", (F.col("turn") + 1).alias("t"), "mask", F.col("conv_id").alias("donor"))
+    cls = ["split", "t", "mask"]
+    prefixes = numbered(cumulative_mask(turns).select("split", (F.col("turn") + 1).alias("t"), "mask", F.col("conv_id").alias("donor")))
     targets = active_masks(turns).where("role = 'user' AND turn > 0").select("conv_id", "turn", "split", F.col("turn").alias("t"), "active")
-    kinds = targets.select("split", "t", "active").distinct().join(prefixes.select("split", "t", "mask").distinct(), ["split", "t"]).where("mask & active = 0")
-    found = targets.join(kinds, ["split", "t", "active"]).join(prefixes, ["split", "t", "mask"]).where("donor <> conv_id")
-    rank = F.md5(F.concat_ws(":", F.lit(str(seed)), "conv_id", "turn", "donor"))
-    best = found.groupBy("conv_id", "turn").agg(F.min_by("donor", F.struct(rank, "donor")).alias("donor"), F.count(F.lit(1)).alias("n_candidates"))
-    out = targets.select("conv_id", "turn").join(best, ["conv_id", "turn"], "left")
-    status = F.when(F.col("donor").isNull(), "unavailable").otherwise("ok")
-    return out.select("conv_id", "turn", "donor", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), status.alias("status"))
+    sizes = prefixes.groupBy(*cls).agg(F.count(F.lit(1)).alias("n"))
+    kinds = targets.select("split", "t", "active").distinct().join(sizes, ["split", "t"]).where("mask & active = 0")
+    # at most as many classes as there are masks in one list, with the number of candidates before each
+    kinds = kinds.groupBy("split", "t", "active").agg(F.array_sort(F.collect_list(F.struct("mask", "n"))).alias("classes"))
+    step = lambda acc, x: F.struct((acc["n"] + x["n"]).alias("n"), F.concat(acc["at"], F.array(F.struct(x["mask"].alias("mask"), acc["n"].alias("first")))).alias("at"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<mask:int,first:bigint>>").alias("at"))
+    kinds = kinds.select("split", "t", "active", F.aggregate("classes", start, step).alias("k")).select("split", "t", "active", "k.*")
+    # the target's own dialogue, if its class is among the candidates', is stepped over
+    own = prefixes.select(F.col("donor").alias("conv_id"), "t", F.col("mask").alias("own_mask"), F.col("rank").alias("own_rank"))
+    found = targets.join(kinds, ["split", "t", "active"], "left").join(own, ["conv_id", "t"], "left")
+    at = lambda mask: F.try_element_at(F.filter("at", lambda x: x["mask"] == mask), F.lit(1))["first"]
+    found = found.withColumn("own", F.when(F.col("own_mask").bitwiseAND(F.col("active")) == 0, at(F.col("own_mask")) + F.col("own_rank")))
+    found = found.withColumn("n_candidates", F.coalesce("n", F.lit(0)) - F.col("own").isNotNull().cast("long"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "conv_id", "turn")), 1, 8), 16, 10).cast("long") % F.nullif("n_candidates", F.lit(0))
+    found = found.withColumn("draw", draw).withColumn("draw", F.col("draw") + F.coalesce((F.col("draw") >= F.col("own")).cast("long"), F.lit(0)))
+    found = found.withColumn("class", F.try_element_at(F.filter("at", lambda x: x["first"] <= F.col("draw")), F.lit(-1)))
+    found = found.select("conv_id", "turn", "split", "t", "n_candidates", F.col("class.mask").alias("mask"), (F.col("draw") - F.col("class.first")).alias("rank"))
+    out = found.join(prefixes, [*cls, "rank"], "left")
+    return out.select("conv_id", "turn", "donor", "n_candidates", F.when(F.col("donor").isNull(), "unavailable").otherwise("ok").alias("status"))
 
 
 def mismatched(turns: DataFrame, seed: int = 7) -> DataFrame:
     """(conv_id, turn, donor, mismatched, mismatched_one): the donor's first t turns as lines, and the last of them; null without a donor."""
     line = tagged_line(F.col("role"), F.col("text"))
-    d = donors(turns, seed).where("donor IS NOT NULL").select("conv_id", "turn", "donor")
-    shown = turns.select(F.col("conv_id").alias("donor"), F.col("turn").alias("at"), line.alias("line"))
-    lines = d.join(shown, "donor").where("at < turn").groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("s"))
-    lines = lines.withColumn("mismatched", F.transform("s", lambda x: x["line"])).drop("s")
-    return donors(turns, seed).select("conv_id", "turn", "donor").join(lines, ["conv_id", "turn"], "left").withColumn("mismatched_one", F.element_at("mismatched", -1))
+    shown = turns.select(F.col("conv_id").alias("from"), F.col("turn").alias("at"), line.alias("line"))
+    d = donors(turns, seed).select("conv_id", "turn", "donor")
+    lines = d.join(shown, (F.col("donor") == F.col("from")) & (F.col("at") < F.col("turn")), "left")
+    lines = lines.groupBy("conv_id", "turn").agg(F.first("donor").alias("donor"), F.sort_array(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("at", "line")))).alias("s"))
+    return lines.select("conv_id", "turn", "donor", F.when(F.col("donor").isNotNull(), F.transform("s", lambda x: x["line"])).alias("mismatched")).withColumn("mismatched_one", F.try_element_at("mismatched", F.lit(-1)))
 
 
 def input_hash(context, target):

@@ -77,8 +77,9 @@ def following(spark, sf):
 DONORS = """, c AS (SELECT *, bit_or(bit) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS mask,
   bit_or(bit) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING) AS active FROM turns),
 cand AS (SELECT a.conv_id, a.turn, b.conv_id AS donor FROM c a JOIN c b ON a.split = b.split AND b.turn + 1 = a.turn AND b.mask & a.active = 0 AND a.conv_id <> b.conv_id WHERE a.role = 'user' AND a.turn > 0),
-d AS (SELECT i.conv_id, i.turn, (SELECT c2.donor FROM cand c2 WHERE c2.conv_id = i.conv_id AND c2.turn = i.turn ORDER BY md5('7:' || c2.conv_id || ':' || c2.turn || ':' || c2.donor), c2.donor LIMIT 1) AS donor,
-  (SELECT count(*) FROM cand c3 WHERE c3.conv_id = i.conv_id AND c3.turn = i.turn)::BIGINT AS n_candidates FROM items i WHERE i.turn > 0)"""
+ordered AS (SELECT cand.*, row_number() OVER (PARTITION BY cand.conv_id, cand.turn ORDER BY c.mask, substr(md5(donor::VARCHAR), 1, 3), donor) - 1 AS k, count(*) OVER (PARTITION BY cand.conv_id, cand.turn) AS n FROM cand JOIN c ON c.conv_id = cand.donor AND c.turn + 1 = cand.turn),
+d AS (SELECT i.conv_id, i.turn, any_value(o.donor) FILTER (WHERE o.k = ('0x' || substr(md5('7:' || i.conv_id || ':' || i.turn), 1, 8))::BIGINT % o.n) AS donor, count(o.donor)::BIGINT AS n_candidates
+  FROM items i LEFT JOIN ordered o ON o.conv_id = i.conv_id AND o.turn = i.turn WHERE i.turn > 0 GROUP BY 1, 2)"""
 
 
 @query("J03_donor_candidates", with_sql(DONORS + " SELECT *, CASE WHEN donor IS NULL THEN 'unavailable' ELSE 'ok' END AS status FROM d"))
