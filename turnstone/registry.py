@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 def _load() -> None:
     from importlib import import_module
 
-    for name in ("context_queries", "scoring_queries", "text_queries", "audit_queries", "report_queries", "pass_queries", "whole_queries", "full_queries", "level_queries"):
+    for name in ("context_queries", "scoring_queries", "text_queries", "audit_queries", "report_queries", "pass_queries", "whole_queries", "full_queries", "level_queries", "gate_queries"):
         import_module(f"turnstone.plans.{name}")
 
 
