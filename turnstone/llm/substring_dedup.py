@@ -16,8 +16,8 @@ each document meet each shard, which grows with the square of the corpus, so doc
 5. A shard's task builds the suffix automaton of its halves and streams each through it for matching statistics: at every
    word, the longest suffix that occurs at least twice. Where it has ``length`` words or more, they repeat.
 6. A shard with more than ``MEMBERS`` different halves, a passage that a good part of the corpus quotes with changes, would be
-   much for one task. Its halves are cut in two again by the same rule, with a longer middle, and go to the shards of their
-   parts, until shards are small; at the latest when a part is one window, equal parts have fallen together.
+   much for one task. Its halves are cut in four by the same rule, with a longer middle, and go to the shards of their parts,
+   and so on until shards are small; at the latest when a part is one window, equal parts have fallen together.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from turnstone.llm.scratch import Scratch
 LENGTH = 35
 GRAM = 8
 ROWS = 1_000  #: rows that leave a task together
-MEMBERS = 1_024  #: different parts of segments in one shard; a larger shard is dealt into shards of smaller parts
+MEMBERS = 4_096  #: different parts of segments in one shard; a larger shard is dealt into shards of smaller parts
 CACHE = 100_000  #: words whose hashes a worker remembers
 PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -200,6 +200,10 @@ def halves(lo: int, hi: int) -> list[tuple[int, int]]:
     return [(lo, (lo + hi) // 2), ((lo + hi) // 2 + 1, hi)] if hi > lo else []
 
 
+def quarters(lo: int, hi: int) -> list[tuple[int, int]]:
+    return [q for h in halves(lo, hi) for q in halves(*h) or [h]]
+
+
 def part(words: list[bytes], lead: int, lo: int, hi: int, length: int) -> tuple[int, int, list[bytes], bytes, bytes] | None:
     """The windows with ``lo`` to ``hi`` words before the anchor, out of a run of words whose first window has ``lead``.
 
@@ -249,6 +253,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, members: int = MEMBER
                 yield pa.record_batch([b["k1"].take(owner), b["k2"].take(owner), h, k, *(x.astype(np.int32) for x in (first, n, lead))], names=["k1", "k2", "h", "k", "first", "n", "lead"])
 
     every = scratch.write(texts.select("k1", "k2", "text").mapInArrow(runs, f"{_KEY}, h long, k long, first int, n int, lead int"), "every")
+    # written first, so that both sides of the join are dealt by it and a hot anchor's rows can be split
     dup = scratch.write(every.groupBy("h").count().where("count > 1").select("h"), "anchors")
     found = scratch.write(every.join(dup, "h", "left_semi"), "runs")
     scratch.drop("every")
@@ -286,7 +291,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, members: int = MEMBER
         for b in batches:
             out = []
             for k1, k2, a, lo, hi, lead, c, line in zip(*(b[x].to_pylist() for x in ("k1", "k2", "a", "lo", "hi", "lead", "c", "words")), strict=True):
-                out += part_rows(k1, k2, a, c, line.split(b" "), lead, halves(lo, hi), length)
+                out += part_rows(k1, k2, a, c, line.split(b" "), lead, quarters(lo, hi), length)
                 if len(out) >= ROWS:
                     yield batch(out, _TYPES, _NAMES)
                     out = []
