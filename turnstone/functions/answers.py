@@ -48,23 +48,30 @@ def too_deep(raw: str, most: int = MOST_DEPTH) -> bool:
     return False
 
 
-def read(raw: str | None, finish: str | None, slot_keys: Collection[str]) -> dict:
-    """The answer's fields, or {"invalid_reason": ...}; reasons are tried in a fixed order."""
-    bad = lambda reason: {"invalid_reason": reason}
+def decoded(raw: str | None, finish: str | None) -> tuple[object, str | None]:
+    """The answer's JSON, or the reason why there is none."""
     if finish == "refusal":
-        return bad("refusal")
+        return None, "refusal"
     if finish == "length":
-        return bad("truncated")
+        return None, "truncated"
     if not raw or not raw.strip():
-        return bad("empty")
+        return None, "empty"
     if len(raw) > MOST_CHARS:
-        return bad("too_long")
+        return None, "too_long"
     try:
         if too_deep(raw):
-            return bad("parse")
-        data = json.loads(raw, object_pairs_hook=_once, parse_constant=_no_constant)
+            return None, "parse"
+        return json.loads(raw, object_pairs_hook=_once, parse_constant=_no_constant), None
     except (ValueError, RecursionError):
-        return bad("parse")
+        return None, "parse"
+
+
+def read(raw: str | None, finish: str | None, slot_keys: Collection[str]) -> dict:
+    """The answer's fields, or {"invalid_reason": ...}; reasons are tried in a fixed order."""
+    bad = lambda reason: {"invalid_reason": reason}
+    data, reason = decoded(raw, finish)
+    if reason:
+        return bad(reason)
     if not isinstance(data, dict) or data.keys() != FIELDS or data["route"] not in ROUTES:
         return bad("schema")
     slots, requested = data["slots"], data["requested_slots"]

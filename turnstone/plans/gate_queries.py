@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from turnstone import catalog
 from turnstone.catalog import with_sql
-from turnstone.functions import mentions, prompts, rules
+from turnstone.functions import mentions, prompts, rules, transfer
 from turnstone.operators import gates
 from turnstone.plans.level_queries import _DRIFT, UTTERANCES, VARIANTS, said
 from turnstone.registry import query
@@ -208,3 +208,35 @@ def shared_supports(spark, sf):
     # a support is told by its size and two sums of hashes: no list of its dialogues is held
     s = p.groupBy(F.concat_ws("/", "condition", F.col("m").cast("string")).alias("stat")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.xxhash64(F.lit(k), "conv_id").cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)])
     return s.groupBy("n", "h1", "h2").agg(F.array_sort(F.collect_list("stat")).alias("stats")).select("stats")
+
+
+_WORDS = "string_split(p_name, ' ')"
+
+
+@query("S17_list_literal", f"SELECT p_partkey, CASE WHEN p_partkey % 5 = 1 THEN NULL WHEN len(list_distinct({_WORDS})) < len({_WORDS}) THEN NULL WHEN p_partkey % 5 = 2 THEN NULL ELSE {_WORDS} END AS candidates FROM part")
+def list_literal(spark, sf):
+    """Literals of the parts' words; every fifth isn't a list, every fifth holds its first word twice, in capitals."""
+    words = F.split("p_name", " ")
+    literal = F.concat(F.lit("['"), F.array_join(words, "', '"), F.when(F.col("p_partkey") % 5 == 2, F.concat(F.lit("', ' "), F.upper(F.element_at(words, 1)))).otherwise(""), F.lit("']"))
+    return t(spark, sf, "part").select("p_partkey", transfer.literal_list(F.when(F.col("p_partkey") % 5 == 1, F.col("p_name")).otherwise(literal)).alias("candidates"))
+
+
+#: Answers of a record whose candidates are "one" and "two", with finish reason, and what they must give.
+ANSWERS = (
+    ('{"request": true, "value": "one"}', "stop", None), ('{"value": "<ambiguous>", "request": false}', "stop", None), ('{"request": true, "value": "One"}', "stop", "transfer_value"), ('{"request": "yes", "value": "one"}', "stop", "schema"),
+    ('{"request": true, "value": "one", "why": 1}', "stop", "schema"), ('{"request": true, "value": "one"', "stop", "parse"), ('{"request": true, "request": true, "value": "one"}', "stop", "parse"), ("  ", "stop", "empty"),
+    ('{"request": true, "value": "one"}', "refusal", "refusal"), ('{"request": true, "value": "one"}', "length", "truncated"), ('{"request": 1, "value": "one"}', "stop", "schema"), ("[1]", "stop", "schema"),
+)
+
+
+@query("F63_transfer_answer", f"SELECT o_orderkey, CASE o_orderkey % {len(ANSWERS)} " + " ".join(f"WHEN {k} THEN '{r}'" for k, (_, _, r) in enumerate(ANSWERS) if r) + f" END AS invalid_reason, CASE o_orderkey % {len(ANSWERS)} WHEN 0 THEN 'one' WHEN 1 THEN '<ambiguous>' END AS value FROM orders")
+def transfer_answer(spark, sf):
+    pick = lambda k: F.element_at(F.array(*[F.lit(a[k]) for a in ANSWERS]), (F.col("o_orderkey") % len(ANSWERS) + 1).cast("int"))
+    return t(spark, sf, "orders").select("o_orderkey", transfer.parsed(pick(0), pick(1), F.array(F.lit("one"), F.lit("two"))).alias("a")).select("o_orderkey", "a.invalid_reason", "a.value")
+
+
+@query("A27_alias_resolution", "SELECT o_orderkey, (['yes', 'no', 'no', '<ambiguous>', NULL])[o_orderkey % 5 + 1] AS value FROM orders")
+def alias_resolution(spark, sf):
+    said_value = F.element_at(F.array(*map(F.lit, ("YES", "It has  not", "no", "<Ambiguous>", "maybe"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    lists = [F.array(*map(F.lit, x)) for x in (("yes", "no"), ("it has", "it has not"))]
+    return t(spark, sf, "orders").select("o_orderkey", transfer.resolved(said_value, *lists).alias("value"))

@@ -10,7 +10,7 @@ from turnstone.catalog import with_sql
 from turnstone.functions.text import word_count
 from turnstone.operators import bootstrap, contexts, models, passes
 from turnstone.plans.context_queries import DONORS, budget_sql
-from turnstone.plans.scoring_queries import BOOT, DERIVED, LEVEL, correct, derived_values, level, p0, p3
+from turnstone.plans.scoring_queries import BOOT, DERIVED, LEVEL, SUMMARY, boot, correct, derived_values, level, p0, p3
 from turnstone.registry import query
 
 
@@ -26,9 +26,11 @@ def stage1_report(spark, sf):
     return spark.sql("SELECT CASE WHEN grouping(condition) = 0 AND grouping(split) = 0 THEN 'split' WHEN grouping(gold) = 0 THEN 'gold' ELSE 'condition' END AS slice, condition, split, gold, avg(cast(gold = pred AS int)) AS accuracy, count(*) AS n FROM turnstone_p0 GROUP BY GROUPING SETS ((condition), (condition, split), (condition, gold))")
 
 
-@query("A24_rate_with_cells", with_sql("SELECT condition, avg((gold = pred)::INT) AS rate, count(*)::BIGINT AS n, count(DISTINCT conv_id)::BIGINT AS dialogues FROM p0 GROUP BY 1"))
+@query("A24_rate_with_interval", with_sql(BOOT + ", s AS (" + SUMMARY.format(k="condition", t="rep") + "), a AS (SELECT condition, avg((gold = pred)::INT) AS rate, count(*)::BIGINT AS n, count(DISTINCT conv_id)::BIGINT AS dialogues FROM p0 GROUP BY 1) SELECT a.*, low, high FROM a JOIN s USING (condition)"))
 def rate(spark, sf):
-    return p0(spark, sf).groupBy("condition").agg(F.avg(correct().cast("int")).alias("rate"), F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("dialogues"))
+    """Each condition's rate, its cell's sizes and its cluster-bootstrap interval."""
+    cells = p0(spark, sf).groupBy("condition").agg(F.avg(correct().cast("int")).alias("rate"), F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("dialogues"))
+    return cells.join(bootstrap.summary(boot(spark, sf), ["condition"]).select("condition", "low", "high"), "condition")
 
 
 @query("A39_slot_states", "WITH s AS (SELECT DISTINCT p_size % 6 AS slot FROM part), i AS (SELECT DISTINCT p_brand AS intent FROM part), f AS (SELECT p_brand AS intent, p_size % 6 AS slot, count(*) AS n, bool_or(p_retailprice > 1000) AS sure FROM part WHERE p_size % 5 > 0 GROUP BY 1, 2) SELECT i.intent, s.slot, CASE WHEN f.n IS NULL THEN 'absent' WHEN sure THEN 'stated' ELSE '?' END AS state FROM i, s LEFT JOIN f ON f.intent = i.intent AND f.slot = s.slot")
