@@ -97,7 +97,7 @@ def quoted(spark, sf):
 
 @query("F33_speech_verb", r"SELECT doc_id, regexp_matches(text, '(?i)\b(the|und|les)\b') AS found FROM documents")
 def speech(spark, sf):
-    return docs(spark, sf).select("doc_id", F.col("text").rlike(r"(?i)\b(the|und|les)\b").alias("found"))
+    return docs(spark, sf).select("doc_id", tx.names_word(F.col("text"), "the", "und", "les").alias("found"))
 
 
 @query("F34_sentences", r"SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda s: trim(s) <> ''))::BIGINT AS n FROM documents")
