@@ -31,3 +31,13 @@ def test_speech_verb_between_other_letters(spark, tmp_path):
     texts = ["éles ", "THE", "Unde und", "leſ x", "leſx", "LEſé", "naïthe", "the_", "lesé", "9the", "", None, "x\nles\n", "ünd undü"]
     rows = [(k, x, "en", "s", len(x or "")) for k, x in enumerate(texts)]
     assert (0, True) in compared(spark, tmp_path, "F33_speech_verb", documents=(rows, DOCUMENTS))
+
+
+#: Turns from 100 on, whose ids the SQL cuts to two digits, and first words that are facts: after a denial, beside other letters, in odd cases.
+WORDS = ("East", "Friday é", "mondayé x", "_north", "Été cheap", "FRİDAY", "Wests a", "english", "“south”", "north", "cheap's", "moderately", "")
+LONG = [(c, t, "user" if t % 2 == 0 else "assistant", WORDS[(c + t // 2) % len(WORDS)]) for c in (2, 4, 7, 8654, 10768) for t in (*range(8), *range(10, 20, 3), *range(100, 131), 398)]
+
+
+@pytest.mark.parametrize("name", ["F19_slot_mentions"])
+def test_facts_of_long_dialogues(spark, tmp_path, name):
+    assert compared(spark, tmp_path, name, conversations=(LONG + LONG[:3], TURNS))
