@@ -38,6 +38,6 @@ WORDS = ("East", "Friday é", "mondayé x", "_north", "Été cheap", "FRİDAY",
 LONG = [(c, t, "user" if t % 2 == 0 else "assistant", WORDS[(c + t // 2) % len(WORDS)]) for c in (2, 4, 7, 8654, 10768) for t in (*range(8), *range(10, 20, 3), *range(100, 131), 398)]
 
 
-@pytest.mark.parametrize("name", ["F19_slot_mentions"])
+@pytest.mark.parametrize("name", ["F19_slot_mentions", "A09_drift_counts", "F25_item_audit", "S28_drift_flags"])
 def test_facts_of_long_dialogues(spark, tmp_path, name):
     assert compared(spark, tmp_path, name, conversations=(LONG + LONG[:3], TURNS))
